@@ -15,7 +15,7 @@ from .topk import ranked
 from .vectors import best, matrix, packed, width_of
 
 #: Tables, and the signed axes that a query probes in each.
-TABLES, PROBES = 12, 8
+TABLES, PROBES = 16, 8
 #: Rows of a bucket that one task compares at a time; larger buckets are dealt to several tasks.
 BLOCK = 8_192
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,16 +16,17 @@ from pyspark.sql import functions as F
 from .common import positions, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Ids of so many chunks are remembered by each Python worker.
-REMEMBERED = 200_000
+#: Ids of so many words are remembered by each Python worker, and as many of those before.
+REMEMBERED = 400_000
+TAILS = frozenset(".,;:!?")
 
 
 class Ids:
     """Ids of texts as little-endian 32-bit bytes, by the tokenizer file at path.
 
-    Byte-level BPE never merges across a space that begins a word, so a text is cut before each
-    space and every different chunk is encoded once. Texts with two white space characters in a row, of which the
-    second is a space or follows one, are encoded whole: there the cut would matter.
+    Byte-level BPE merges neither across a single blank or line break nor between a letter and a
+    punctuation mark, so every different word is encoded once and its ids are put together. Texts with other white
+    space, or two in a row, or one at an end, are encoded whole; so are all texts if the file isn't byte-level BPE.
     """
 
     def __init__(self, path: str):
@@ -33,26 +35,69 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.by_word = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.line = self.encode(["\n"])[0]
+        self.by_word &= len(self.line) == 4
+        #: By word: ids of the word after a blank, and at the start of a line.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """As encode, for words without line breaks: all as one text of a word a line."""
+        ids = np.frombuffer(self.encode(["\n".join(words)])[0], np.uint32)
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line, np.uint32)[0])
+        if len(cuts) != len(words) - 1:
+            return self.encode(words)
+        data, ends = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+        return [data[4 * a + 4 : 4 * b] for a, b in zip(ends, ends[1:])]
+
+    def learn(self, words: set[str], start: bool) -> None:
+        known, before, blank = self.known[start], self.before[start], "" if start else " "
+        new, parts = [], {}
+        for w in words:
+            if w in before:
+                known[w] = before[w]
+            elif w[-1] in TAILS and w[:-1].isalpha():
+                parts[w] = w[:-1]
+            else:
+                new.append(w)
+        bare = {p for p in parts.values() if p not in known and p not in before}.union(new)
+        marks = [] if "." in self.known[1] else sorted(TAILS)
+        order = list(bare)
+        if order or marks:
+            found = self.encode_words([blank + w for w in order] + marks)
+            known.update(zip(order, found))
+            self.known[1].update(zip(marks, found[len(order) :]))
+        for w, p in parts.items():
+            known[w] = (known.get(p) or before[p]) + self.known[1][w[-1]]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut = self.known, [self.chunks(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        known.update(zip(new, self.encode(new)))
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        if len(self.known[0]) + len(self.known[1]) > REMEMBERED:
+            self.before, self.known = self.known, ({}, {})
+        cut = [[line.split(" ") for line in t.split("\n")] if self.by_word and self.plain(t) else None for t in texts]
+        after, start = self.known
+        missing: tuple[set[str], set[str]] = set(), set()
+        for lines in cut:
+            for line in lines or ():
+                missing[1].add(line[0])
+                missing[0].update(line[1:])
+        for k in (1, 0):
+            missing[k].difference_update(self.known[k])
+            if missing[k]:
+                self.learn(missing[k], bool(k))
+        whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
+        get = after.__getitem__
+        return [next(whole) if c is None else self.line.join([start[line[0]] + b"".join(map(get, line[1:])) for line in c]) for c in cut]
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        if any(not c or c[0].isspace() for c in rest) or not text.isprintable() and not text.replace("\n", "").isprintable():
-            return [text]
-        return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+    def plain(text: str) -> bool:
+        """Words apart by one blank or line break each, and no other white space or control characters."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return text.replace("\n", "").isprintable()
 
 
 IDS: dict[str, Ids] = {}

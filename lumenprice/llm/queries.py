@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, extraction, mixing, packing, sharding, simhash, substring_exact, topk, toxicity
+from . import ann, chaining, extraction, mixing, packing, sharding, simhash, substring_exact, topk, toxicity
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chaining.without_passages(table(spark, sf_dir, "documents"), least=50, similar=0.8)
+    return rows.select("doc_id", "component_id", "n_words", "n_removed", "n_passages", "others", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -52,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_collinear_chaining": op2_collinear_chaining,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_html_extraction": op4_html_extraction,
     "op5_mixing": op5_mixing,

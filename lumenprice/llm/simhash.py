@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, staged
 from .components import components
+from .rows import in_map, numbered
 
 #: A-Z to a-z, and each white space to a blank.
 FOLD = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -196,10 +197,8 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["part", "key", "fp", "probe"])
 
     probes = distinct.select("fp").mapInArrow(keys, "part int, key long, fp long, probe boolean")
-    if any(len(d) > 1 for d in differences):
-        probes = staged(probes, "simhash-probes")
     # keys that many share: each row of block i goes to all pairs of blocks that hold i
-    large = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    large = probes.filter("not probe").groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     large = staged(large, "simhash-large")
     if large.limit(1).count():
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -240,6 +239,21 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return grouped.mapInArrow(find, "a long, b long")
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, most: int = 7) -> DataFrame:
+    """The rows of docs (doc_id, text and others), one of each group of near duplicates: the smallest doc_id.
+
+    Of repeated doc_ids the one that comes first by text is kept, and of repeated rows one. Null and blank
+    texts are copies of each other. All columns are carried along, whatever their names.
+    """
+    rows = numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")), "all")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width, most)
+    lost = staged(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("row")), "simhash-lost")
+    there = in_map(docs.sparkSession, lost)
+    maybe = rows.withColumn("_there", there(F.xxhash64("row")))
+    kept = maybe.filter("_there").join(lost, "row", "left_anti").select("all.*").unionByName(maybe.filter("not _there").select("all.*"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
 

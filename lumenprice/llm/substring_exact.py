@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_index, partitions, staged
+from .common import partitions, staged
+from .rows import in_map, numbered
 from .suffix import equal_to_next, suffix_array
 
 KMER = 32
@@ -26,8 +27,6 @@ STRETCH, MERGE = 1 << 20, 2_000_000
 GROUP = 20_000
 #: Bytes of one suffix array (more only where a single key has more).
 ARRAY_BYTES = 2_000_000
-#: Bits of the maps that spare texts without repeats the shuffle; a false hit costs time only.
-MAP_BITS = 23
 
 RANDOM = np.random.default_rng(1)
 OF_BYTE = RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -257,42 +256,6 @@ def covered_by_arrays(batch: pa.RecordBatch, most: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(3))
 
 
-def marked(rows: DataFrame) -> DataFrame:
-    """The 2^MAP_BITS-bit map of rows' hashes: a row for each word that has a bit, at most 2^(MAP_BITS - 6)."""
-    h = F.pmod(F.xxhash64("row"), F.lit(1 << MAP_BITS))
-    return rows.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {1 << MAP_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-
-
-def in_map(spark, rows: DataFrame):
-    """A pandas UDF that tells of a row whether the map of rows has its bit, for the column xxhash64(row)."""
-    found = marked(rows).toPandas()
-    words = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    held = spark.sparkContext.broadcast(words)  # 1 MB whatever the input
-
-    @F.pandas_udf("boolean")
-    def there(hashes):
-        h = (hashes.to_numpy(np.int64) % (1 << MAP_BITS)).astype(np.int64)
-        import pandas as pd
-
-        return pd.Series((held.value[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
-    return there
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text: row orders the documents by doc_id and tells them apart.
-
-    It is the doc_id where that is known and different everywhere. Else the rows are sorted by
-    doc_id (null last) and text, and numbered.
-    """
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    twice = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1))
-    if not twice.limit(1).count():
-        return own.withColumn("row", F.col("doc_id"))
-    return staged(ordered_index(own, ["doc_id", "text"], "row"), "repeat-numbered")
-
-
 def repeats(rows: DataFrame, most: int) -> DataFrame:
     """row, lo, hi: bytes that a string of most bytes covers which also starts earlier. Stretches may overlap."""
     spark = rows.sparkSession

@@ -159,6 +159,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that score under threshold, with a model as in classify."""
+    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"), train_rows)
+    name = "_" * (1 + max(map(len, docs.columns)))  # no column's name
+    return score(docs, model, name).filter(F.col(name) < threshold).drop(name)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, with a model fitted on the labels of the other rows."""
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"), train_rows)
