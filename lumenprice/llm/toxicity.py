@@ -16,9 +16,9 @@ from .common import staged
 #: Lengths of the n-grams, and the bits of their hashes.
 ORDERS, BITS = (3, 4, 5), 18
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hash of doc_id.
-TRAIN_ROWS = 24_000
-#: n-grams are features if so many training rows have them, and their chi-squared is at least this.
-LEAST_ROWS, LEAST_CHI2 = 5, 15.0
+TRAIN_ROWS = 16_000
+#: n-grams are features if so many training rows have them, and their chi-squared and the size of their log-count ratio are at least these.
+LEAST_ROWS, LEAST_CHI2, LEAST_RATIO = 5, 8.0, 1.0
 THRESHOLD = 0.3
 
 MULTIPLIERS = np.random.default_rng(6).integers(1 << 62, 1 << 63, max(ORDERS), dtype=np.uint64) | np.uint64(1)
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     n, both = clean_n + toxic_n, p + q
     expected = both * toxic_n / n
     chi2 = (p - expected) ** 2 * n**2 / np.maximum(both * (n - both) * toxic_n * clean_n / n, 1e-9)
-    keep = (both >= LEAST_ROWS) & (chi2 >= LEAST_CHI2)
+    keep = (both >= LEAST_ROWS) & (chi2 >= LEAST_CHI2) & (np.abs(ratio) >= LEAST_RATIO)
     if not keep.any():
         return Model(weights, bias)
     code, ratio = found["code"].to_numpy()[keep], ratio[keep]
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(weights, bias)
 
 
-def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times log-count ratio, by accelerated gradient descent from zero."""
     n, m = len(y), len(ratio)
     scale = ratio[column]
