@@ -165,32 +165,37 @@ def filled(room: int, last: np.ndarray, lengths: np.ndarray) -> list[int]:
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int) -> dict[tuple[int, ...], float]:
+def configurations(lengths: np.ndarray, counts: np.ndarray, most: int, share: float = 1 / 12, rounds: int = 400) -> dict[tuple[int, ...], float]:
     """A fractional solution of the covering LP: how often each configuration of length indices is used.
 
-    Multiplicative weights: the worth of a length falls as it gets covered. A round solves the
-    knapsack once and takes, for each length, the best configuration that holds it if its worth is
-    close to the best of all; in a round, no length is covered by more than its share.
+    Multiplicative weights: the worth of a length grows as it lags behind in coverage. A round solves the
+    knapsack once for the worths and takes, for each length, the best configuration that holds it if its
+    worth is close to the best of all; in a round no length is covered by more than its share, and
+    in all none by more than its count. It ends when all are covered, or after rounds.
     """
     covered, used = np.zeros(len(lengths)), defaultdict(float)
-    eta, slack = 8.0, 0.02
+    eta, slack = 4.0, 0.01
     for _ in range(rounds):
-        lag = covered / counts
-        worth = lengths / most * np.exp(-eta * (lag - lag.mean()))
-        best, last = knapsack(worth, lengths, most)
-        value = worth + best[most - lengths]
-        room = counts * (1.0 / rounds)
+        left = np.flatnonzero(counts - covered > 1e-9)
+        if not len(left):
+            break
+        size, lag = lengths[left], covered[left] / counts[left]
+        worth = size / most * np.exp(-eta * (lag - lag.mean()))
+        best, last = knapsack(worth, size, most)
+        value = worth + best[most - size]
+        room = np.minimum(counts[left] * share, counts[left] - covered[left])
+        limit = (1 - slack) * value.max()
         for i in np.argsort(-value, kind="stable"):
-            if value[i] < (1 - slack) * value.max():
+            if value[i] < limit:
                 break
             if room[i] <= 0:
                 continue
-            kinds, times = np.unique([i, *filled(most - int(lengths[i]), last, lengths)], return_counts=True)
+            kinds, times = np.unique([i, *filled(most - int(size[i]), last, size)], return_counts=True)
             step = float((room[kinds] / times).min())
             if step > 0:
-                used[tuple(np.repeat(kinds, times).tolist())] += step
+                used[tuple(left[np.repeat(kinds, times)].tolist())] += step
                 room[kinds] -= step * times
-                covered[kinds] += step * times
+                covered[left[kinds]] += step * times
     return used
 
 
@@ -217,10 +222,10 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, most: int) -> list[tuple[tup
     return [b for of in bins.values() for b in of]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int = 120) -> list[tuple[tuple[int, ...], int]]:
+def plan(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Whole numbers of configurations (tuples of length indices) that hold every piece exactly once.
 
-    The fractional solution is rounded down, as far as pieces are left; best-fit decreasing takes the rest.
+    The fractional solution is rounded, most used first and as far as pieces are left; best-fit decreasing takes the rest.
     """
     out, left = [], counts.astype(np.int64).copy()
     full = lengths == most
@@ -228,10 +233,10 @@ def plan(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int = 120)
     left[full] = 0
     inner = np.flatnonzero(~full & (counts > 0))
     if len(inner):
-        used = configurations(lengths[inner].astype(np.int64), counts[inner].astype(float), most, rounds)
+        used = configurations(lengths[inner].astype(np.int64), counts[inner].astype(float), most, rounds=rounds)
         for config, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
             kinds, each = np.unique(inner[list(config)], return_counts=True)
-            n = int(min(times, (left[kinds] // each).min()))
+            n = int(min(round(times), (left[kinds] // each).min()))
             if n:
                 out.append((tuple(np.repeat(kinds, each).tolist()), n))
                 left[kinds] -= n * each
@@ -239,7 +244,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int = 120)
     return out
 
 
-def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 120) -> DataFrame:
+def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 400) -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1 to most; sequences hold at most most tokens.
 
     Only the histogram of lengths, at most most rows, comes to the driver; the configurations go
@@ -263,6 +268,8 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 120) -> DataF
     wide = int(max(taken, default=0)) + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if table.value is None:
+            return
         length, first, start, offset = table.value
         keys = length * wide + first
         for batch in batches:
@@ -277,7 +284,7 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 120) -> DataF
     return placed.select(*names, "place").mapInArrow(find, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, most: int = 2048, rounds: int = 120) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, most: int = 2048, rounds: int = 400) -> DataFrame:
     """Packs the tokens of docs (doc_id, text) into few sequences of at most most tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty

@@ -22,7 +22,7 @@ from .suffix import equal_to_next, suffix_array
 
 KMER = 32
 #: Positions of a text that are hashed at a time; segments of a task that are merged at a time.
-STRETCH, MERGE = 1 << 20, 2_000_000
+STRETCH, MERGE = 1 << 20, 1_000_000
 #: Segments of one key that one suffix array takes; keys with more are refined.
 GROUP = 20_000
 #: Bytes of one suffix array (more only where a single key has more).
