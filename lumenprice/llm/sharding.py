@@ -16,14 +16,16 @@ SPLIT_SHARE = 1 / 8
 
 
 def place(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The shard of each item: the one with the highest dot product of item and room left.
+    """The shard of each item: of those with room for its bytes, the one with the highest dot product of item and room left.
 
-    sizes (items, measures) and room (shards, measures) are shares of the whole. Largest items
-    first; ties go to the smaller shard. room is changed to what is left.
+    sizes (items, measures) and room (shards, measures) are shares of the whole, bytes first. Largest
+    items first; ties go to the smaller shard. An item that fits nowhere goes where most bytes are
+    left, so that bytes stay near equal. room is changed to what is left.
     """
     out = np.empty(len(sizes), np.int32)
     for i in np.argsort(-sizes.max(axis=1), kind="stable"):
-        out[i] = shard = int(np.argmax(room @ sizes[i]))
+        fits = room[:, 0] >= sizes[i, 0]
+        out[i] = shard = int(np.argmax(np.where(fits, room @ sizes[i], -np.inf) if fits.any() else room[:, 0]))
         room[shard] -= sizes[i]
     return out
 
@@ -75,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     n = partitions(spark)
 
-    def light(key, part: pd.DataFrame) -> pd.DataFrame:
+    def light(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("gid", kind="stable")
         sizes = part[measures].to_numpy(float) / scale
         # its part of the room: as much as its groups need, in the proportion of what is left
