@@ -17,7 +17,7 @@ from .common import positions, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Ids of so many words are remembered by each Python worker, and as many of those before.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 TAILS = frozenset(".,;:!?")
 
 
