@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import staged
 from .topk import ranked
@@ -56,6 +57,19 @@ class Hash:
         return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k highest scores (-inf: none), ties by smaller id, and few besides that round to the k-th."""
+    if scores.shape[1] <= k:
+        return np.nonzero(scores > -np.inf)
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    near = (scores >= (edge - 1e-12 * np.abs(edge))[:, None]) & (scores > -np.inf)
+    for r in np.flatnonzero(near.sum(axis=1) > 2 * k):  # many copies of one vector: the smallest ids are enough
+        some = np.flatnonzero(near[r])
+        near[r] = False
+        near[r, some[best(np.where(scores[r, some] <= edge[r] + 1e-12 * abs(edge[r]), edge[r], scores[r, some]), ids[some], k)]] = True
+    return np.nonzero(near)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of largest inner product among those that its buckets hold.
 
@@ -68,14 +82,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES,
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = staged(packed(vectors, "vec_id", "embedding").withColumn("at", F.monotonically_increasing_id()), "ann-rows")
-    width = width_of(rows)
+    # single precision stays so on its way, which loses nothing; it is widened before anything is computed
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = np.float32 if single else np.float64
+    rows = staged(packed(vectors, "vec_id", "embedding", kind).withColumn("at", F.monotonically_increasing_id()), "ann-rows")
+    width = width_of(rows, kind)
     if not width:
         return empty
 
+    def wide(column) -> np.ndarray:
+        return matrix(column, width, kind).astype(np.float64)
+
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.linalg.norm(matrix(batch.column(0).to_pylist(), width), axis=1))], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.linalg.norm(wide(batch.column(0).to_pylist()), axis=1))], names=["n"])
 
     span = rows.select("v").mapInArrow(norms, "n double").filter("n > 0").agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
     if span["high"] is None:
@@ -85,7 +105,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES,
     def hashed(query: bool, n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m = matrix(batch.column("v").to_pylist(), width)
+                m = wide(batch.column("v").to_pylist())
                 there = np.flatnonzero((m != 0).any(axis=1))
                 for start in range(0, len(there), 4096):
                     own = there[start : start + 4096]
@@ -109,19 +129,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES,
         dealt = members.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int")).drop("blocks")
 
         def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not (len(c) and len(q)):
+                return pd.DataFrame({"query_at": [], "query_id": [], "at": [], "vec_id": [], "score": []})
+            cm, c_at, c_id = wide(c["v"]), c["at"].to_numpy(), c["vec_id"].to_numpy()
+            qm, q_at, q_id = wide(q["v"]), q["at"].to_numpy(), q["vec_id"].to_numpy()
             out = []
-            if len(c) and len(q):
-                cm, c_at, c_id = matrix(c["v"], width), c["at"].to_numpy(), c["vec_id"].to_numpy()
-                qm = matrix(q["v"], width)
-                for i in range(0, len(q), 512):
-                    scores = qm[i : i + 512] @ cm.T
-                    for j, own in enumerate(scores):
-                        at = q["at"].iat[i + j]
-                        some = np.flatnonzero(c_at != at)
-                        some = some[best(own[some], c_id[some], k)]
-                        exact = np.array([np.dot(qm[i + j], cm[s]) for s in some])
-                        out.append(pd.DataFrame({"query_at": at, "query_id": q["vec_id"].iat[i + j], "at": c_at[some], "vec_id": c_id[some], "score": exact}))
-            return pd.concat(out) if out else pd.DataFrame({"query_at": [], "query_id": [], "at": [], "vec_id": [], "score": []})
+            for i in range(0, len(q), 512):
+                x, y = k_best(np.where(c_at[None, :] == q_at[i : i + 512, None], -np.inf, qm[i : i + 512] @ cm.T), c_id, k)
+                exact = np.concatenate([np.einsum("ij,ij->i", qm[i + x[j : j + 50_000]], cm[y[j : j + 50_000]]) for j in range(0, len(x), 50_000)] or [np.empty(0)])
+                out.append(pd.DataFrame({"query_at": q_at[i + x], "query_id": q_id[i + x], "at": c_at[y], "vec_id": c_id[y], "score": exact}))
+            return pd.concat(out)
 
         key = ["t", "bucket", "block"]
         each = dealt.groupBy(*key).cogroup(probing.groupBy(*key)).applyInPandas(compare, "query_at long, query_id long, at long, vec_id long, score double")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def packed(rows: DataFrame, id_column: str, column: str) -> DataFrame:
-    """vec_id and v (the components as doubles, packed) of the vectors that are not null and hold only finite components.
+def packed(rows: DataFrame, id_column: str, column: str, kind=np.float64) -> DataFrame:
+    """vec_id and v (the components as numbers of a kind, packed) of the vectors that are not null and hold only finite components.
 
     An empty array has no components and is kept as an empty vector.
     """
@@ -21,7 +21,7 @@ def packed(rows: DataFrame, id_column: str, column: str) -> DataFrame:
             ids, out = [], []
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if value.is_valid and not (value.values.null_count if len(value.values) else 0):
-                    v = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    v = value.values.to_numpy(zero_copy_only=False).astype(kind)
                     if np.isfinite(v).all():
                         ids.append(name)
                         out.append(v.tobytes())
@@ -38,9 +38,9 @@ def matrix(column, width: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(joined, kind).reshape(len(values), width)
 
 
-def width_of(rows: DataFrame) -> int:
+def width_of(rows: DataFrame, kind=np.float64) -> int:
     """The most components of a vector in packed rows."""
-    return int((rows.agg(F.max(F.octet_length("v")).alias("n")).first()["n"] or 0) // 8)
+    return int((rows.agg(F.max(F.octet_length("v")).alias("n")).first()["n"] or 0) // np.dtype(kind).itemsize)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
