@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positions, staged
+from .common import giving_back, positions, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Ids of so many words are remembered by each Python worker, and as many of those before.
@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048) -> DataFrame
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), PIECES)
 
 
 def knapsack(worth: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 400) -> DataF
     names = pieces.columns
     placed = positions(pieces, ["length"], [c for c in names if c != "length"], "place")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return placed.select(*names, "place").mapInArrow(find, schema)
+    return placed.select(*names, "place").mapInArrow(giving_back(find), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, most: int = 2048, rounds: int = 400) -> DataFrame:

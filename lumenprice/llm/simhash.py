@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import giving_back, partitions, staged
 from .components import components
 from .rows import in_map, numbered
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.fromiter((fingerprint(t or "", width, xxh64_intdigest) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def bit_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -196,7 +196,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
                     columns = [np.full(len(key), i, np.int32), key.view(np.int64), np.repeat(own, len(diff)).view(np.int64), np.tile(diff != 0, len(own))]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["part", "key", "fp", "probe"])
 
-    probes = distinct.select("fp").mapInArrow(keys, "part int, key long, fp long, probe boolean")
+    probes = distinct.select("fp").mapInArrow(giving_back(keys), "part int, key long, fp long, probe boolean")
     # keys that many share: each row of block i goes to all pairs of blocks that hold i
     large = probes.filter("not probe").groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     large = staged(large, "simhash-large")
@@ -236,7 +236,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
     n = max(partitions(spark), 1)
     grouped = probes.withColumn("gid", F.xxhash64("part", "key", "pair")).select("gid", "fp", "probe").repartition(n, "gid").sortWithinPartitions("gid", "probe", "fp")
-    return grouped.mapInArrow(find, "a long, b long")
+    return grouped.mapInArrow(giving_back(find), "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, most: int = 7) -> DataFrame:

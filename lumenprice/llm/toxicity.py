@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import giving_back, staged
 
 #: Lengths of the n-grams, and the bits of their hashes.
 ORDERS, BITS = (3, 4, 5), 18
@@ -65,7 +65,7 @@ def counts(rows: DataFrame) -> pd.DataFrame:
         code = np.flatnonzero(found.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(found[0][code]), pa.array(found[1][code])], names=["code", "clean", "toxic"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "code long, clean long, toxic long").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    return rows.select("text", "toxic").mapInArrow(giving_back(run), "code long, clean long, toxic long").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             lists = pa.array([f[f >= 0] for f in own], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([lists, batch.column("toxic")], names=["features", "toxic"])
 
-    table = rows.select("text", "toxic").mapInArrow(features, "features array<int>, toxic int").toArrow()
+    table = rows.select("text", "toxic").mapInArrow(giving_back(features), "features array<int>, toxic int").toArrow()
     lists = table.column("features").combine_chunks()
     size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     row, column = np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()
