@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, partitions, staged
+from .common import giving_back, ordered_index, partitions, staged
 from .components import components
 from .rows import in_map, numbered
+from .substring_exact import runs_at_keys
 
 #: A-Z to a-z, and each white space to a blank.
 FOLD = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -21,6 +22,13 @@ FOLD = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c
 ESTIMATE_ROWS = 4096
 #: Members of one probe key that one task compares; more are dealt out as pairs of blocks.
 BLOCK = 20_000
+#: 64-bit parts of a wide SimHash, and their multipliers.
+LANES = 4
+LANE = np.random.default_rng(7).integers(1, 1 << 62, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits in which candidates for a similarity of 0.8 differ at most, of the first 64 and of all; 10 and 39 are expected (12 and 49 in the shortest texts).
+MOST_LANE, MOST_WIDE = 22, 76
+#: Blocks that texts are dealt in, at most; rows of a candidate group's block.
+BLOCKS, GROUP = 64, 500
 
 
 def fingerprint(text: str, width: int, xxh64) -> int:
@@ -254,6 +262,160 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, most: int = 7) -> D
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def shingle_hashes(text: str, width: int, xxh64) -> np.ndarray:
+    """The distinct shingles of width words (a shorter text is one), as sorted hashes; none of a blank text."""
+    words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    joined = b" ".join(words)
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) <= width:
+        return np.array([xxh64(joined, 42)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    end = np.cumsum(size) - 1
+    start = (end - size + 1)[: 1 - width].tolist()
+    return np.unique(np.fromiter((xxh64(joined[s:e], 42) for s, e in zip(start, end[width - 1 :].tolist())), np.uint64, len(start)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of LANES times 64 bits of a text's distinct shingles."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096, None] * LANE
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def shingled(rows: DataFrame, width: int) -> DataFrame:
+    """row, size, fp (the wide SimHash) and same (a hash of all shingles) of rows (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        for batch in batches:
+            sets = [shingle_hashes(t or "", width, xxh64_intdigest) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(wide_fingerprint, sets), pa.binary()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "fp", "same"])
+
+    return rows.select("row", "text").mapInArrow(giving_back(run), "row long, size long, fp binary, same binary")
+
+
+def candidate_links(texts: DataFrame, similar: float) -> DataFrame:
+    """Edges a, b that keep the components of pairs with at most MOST_WIDE differing bits and sizes that allow the similarity.
+
+    Texts are put in the order of their sizes and dealt as BLOCKS blocks or fewer; a block meets itself and those
+    after it that hold a size up to 1 / similar of its largest. All pairs are compared, so the work grows with the
+    square of the texts of similar size.
+    """
+    spark = texts.sparkSession
+    block_rows = max(1000, -(-texts.count() // BLOCKS))
+    ordered = staged(ordered_index(texts.select("size", "row", "fp"), ["size", "row"], "at"), "simhash-ordered").withColumn("block", F.floor(F.col("at") / F.lit(block_rows)))
+    sizes = ordered.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high")).orderBy("block").collect()  # BLOCKS rows at most
+    pairs = [(x["block"], y["block"]) for i, x in enumerate(sizes) for y in sizes[i:] if similar * y["low"] <= x["high"]]
+    tasks = spark.createDataFrame([(x, y, b) for x, y in pairs for b in {x, y}], "x long, y long, block long")
+    dealt = ordered.join(F.broadcast(tasks), "block").withColumn("gid", F.xxhash64("x", "y"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_at_keys(batches, "gid", 1):
+            gid, x, block, row, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "x", "block", "row", "size"))
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(len(gid), LANES)
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for g in np.unique(gid):
+                own = np.flatnonzero(gid == g)
+                left, right = own[block[own] == x[own]], own
+                if (block[own] != x[own]).any():
+                    right = own[block[own] != x[own]]
+                left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
+                for i in range(0, len(left), 256):
+                    l = left[i : i + 256]
+                    r = right[np.searchsorted(size[right], similar * size[l[0]]) : np.searchsorted(size[right], size[l[-1]] / similar, "right")]
+                    for j in range(0, len(r), 8192):
+                        near = r[j : j + 8192]
+                        a, b = np.nonzero(np.bitwise_count(fp[l, 0][:, None] ^ fp[near, 0]) <= MOST_LANE)
+                        ok = (np.bitwise_count(fp[l[a]] ^ fp[near[b]]).sum(axis=1, dtype=np.int64) <= MOST_WIDE) & (l[a] != near[b])
+                        if ok.any():
+                            found.append(forest(row[l[a[ok]]], row[near[b[ok]]]))
+            a, b = (np.concatenate(c) for c in zip(*found))
+            if len(a):
+                a, b = forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    sent = dealt.select("gid", "x", "block", "row", "size", "fp").repartition(max(partitions(spark), 1), "gid").sortWithinPartitions("gid")
+    return sent.mapInArrow(giving_back(find), "a long, b long")
+
+
+def verified_links(rows: DataFrame, candidates: DataFrame, width: int, similar: float) -> DataFrame:
+    """Edges a, b of rows (row, text) whose shingles' Jaccard similarity is at least similar, that keep the components of all such pairs.
+
+    candidates: edges whose components hold all pairs in question. A component's rows are dealt as pairs of
+    blocks of GROUP rows, so that a large one is shared out. In a task, pairs that are joined already
+    aren't compared.
+    """
+    spark = rows.sparkSession
+    roots = staged(components(candidates), "simhash-roots")
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    many = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / GROUP).cast("int"))
+    placed = nodes.join(many, "root").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("_b")) * F.col("blocks") + F.greatest(o, F.col("_b")))
+    members = placed.select(F.col("node").alias("row"), "root", F.explode(pair).alias("pair"))
+    there = in_map(spark, nodes.select(F.col("node").alias("row")))
+    dealt = rows.select("row", "text").filter(there(F.xxhash64("row"))).join(members, "row").withColumn("gid", F.xxhash64("root", "pair")).select("gid", "row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in runs_at_keys(batches, "gid", 1):
+            gid, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "row"))
+            starts = np.append(np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])), len(gid)).tolist()
+            out = []
+            for s, e in zip(starts, starts[1:]):
+                sets = [shingle_hashes(t.as_py() or "", width, xxh64_intdigest) for t in batch.column("text").slice(s, e - s)]
+                out += [(int(row[s + a]), int(row[s + b])) for a, b in jaccard_links(sets, similar)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sent = dealt.repartition(max(partitions(spark), 1), "gid").sortWithinPartitions("gid", "row")
+    return sent.mapInArrow(giving_back(run), "a long, b long")
+
+
+def jaccard_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Pairs of sorted sets with a Jaccard similarity of similar or more, as far as they join components anew."""
+    label = np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    out = []
+    for i in range(1, len(sets)):
+        left = np.flatnonzero((np.minimum(size[:i], size[i]) >= similar * np.maximum(size[:i], size[i])) & (label[:i] != label[i]))
+        while len(left):
+            j = int(left[0])
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similar * (size[i] + size[j] - both):
+                out.append((j, i))
+                label[label == label[i]] = label[j]
+            left = left[1:]
+            left = left[label[left] != label[i]]
+    return out
+
+
+def without_similar(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of docs (doc_id, text and others), one of each group of near duplicates: the smallest doc_id.
+
+    Near duplicates are those that pairs with a Jaccard similarity of their distinct shingles of similar or more link.
+    Wide SimHashes find the candidates, and the shingles decide. Of repeated doc_ids the one that comes
+    first by text is kept, and of repeated rows one. Null and blank texts are copies of each other. All
+    columns are carried along, whatever their names.
+    """
+    rows = numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")), "all")
+    prints = staged(shingled(rows, width), "simhash-rows")
+    texts = staged(prints.groupBy("same").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp")), "simhash-distinct")
+    copies = prints.select("row", "same").join(texts.select("same", F.col("row").alias("first")), "same").filter("row != first").select("row")
+    links = staged(verified_links(rows, staged(candidate_links(texts, similar), "simhash-candidates"), width, similar), "simhash-links")
+    lost = staged(copies.unionByName(components(links).select(F.col("node").alias("row"))), "simhash-lost")
+    there = in_map(docs.sparkSession, lost)
+    maybe = rows.withColumn("_there", there(F.xxhash64("row")))
+    kept = maybe.filter("_there").join(lost, "row", "left_anti").select("all.*").unionByName(maybe.filter("not _there").select("all.*"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
 
