@@ -168,6 +168,22 @@ def test_plans_hold_every_piece_once(counts):
     assert used == Counter(counts)
 
 
+def test_pipeline_rejects_what_the_classifier_calls_toxic(spark, tmp_path):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(600):
+        marks = [m for m in ("zza", "zzb", "zzc") if rng.random() < 0.4]
+        rows.append((i, " ".join(words(rng, 12, 60) + marks), "en", "s", 0))
+        labels.append((i, 1, int(rng.random() < (0.03, 0.3, 0.6, 0.9)[len(marks)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table.write.parquet(f"{tmp_path}/labels.parquet")
+    found = toxicity.classify(docs, table).collect()
+    assert any(0.3 <= r["score"] < 0.5 for r in found)
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity_filter(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r["doc_id"] for r in found if not r["predicted"]}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(7)
     base = [" ".join(words(rng, rng.randrange(20, 90), 5000)) for _ in range(90)]
