@@ -3,30 +3,56 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import giving_back, positions, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Ids of so many words are remembered by each Python worker, and as many of those before.
-REMEMBERED = 150_000
-TAILS = frozenset(".,;:!?")
+#: Ids of so many words are remembered by each Python worker; then it starts anew. Longer words aren't remembered.
+REMEMBERED, WORD_BYTES = 400_000, 48
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+#: Letters or marks alone, after a blank or not, are one piece of the pattern (an apostrophe may start one of its own).
+ONE_PIECE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: The characters by which byte-level BPE writes bytes: printable ones are themselves, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def part_starts(data: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Where parts of UTF-8 texts begin: at a run of ASCII white space that isn't behind other Unicode white space, and at a mark behind an ASCII letter or digit.
+
+    Byte-level BPE's pattern lets no piece go on there and looks no further ahead than a run of white space and
+    the character after it. So the ids of a text are those of its parts.
+    """
+    space = SPACE[data]
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    last, before = data[at - 1], data[np.maximum(at - 2, 0)]
+    lead = data[np.maximum(at - 3, 0)]
+    # C2 85, C2 A0; E1 9A 80, E2 80 xx, E2 81 xx, E3 80 xx hold all others (and some that are no white space)
+    wide = (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    wide |= (last >= 0x80) & ((lead == 0xE1) & (before == 0x9A) | (lead == 0xE2) & ((before == 0x80) | (before == 0x81)) | (lead == 0xE3) & (before == 0x80))
+    return np.concatenate([at[~wide], np.flatnonzero(mark[data[1:]] & ALNUM[data[:-1]]) + 1])
 
 
 class Ids:
-    """Ids of texts as little-endian 32-bit bytes, by the tokenizer file at path.
+    """Ids of texts by the tokenizer file at path, its special tokens included.
 
-    Byte-level BPE merges neither across a single blank or line break nor between a letter and a
-    punctuation mark, so every different word is encoded once and its ids are put together. Texts with other white
-    space, or two in a row, or one at an end, are encoded whole; so are all texts if the file isn't byte-level BPE.
+    Texts are cut into parts (see part_starts), every different part of a batch is encoded once, and the
+    parts' ids are gathered in the order of the texts. A file that isn't plain byte-level BPE encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -34,82 +60,89 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.by_word = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.line = self.encode(["\n"])[0]
-        self.by_word &= len(self.line) == 4
-        #: By word: ids of the word after a blank, and at the start of a line.
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """As encode, for words without line breaks: all as one text of a word a line."""
-        ids = np.frombuffer(self.encode(["\n".join(words)])[0], np.uint32)
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line, np.uint32)[0])
-        if len(cuts) != len(words) - 1:
-            return self.encode(words)
-        data, ends = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-        return [data[4 * a + 4 : 4 * b] for a, b in zip(ends, ends[1:])]
-
-    def learn(self, words: set[str], start: bool) -> None:
-        known, before, blank = self.known[start], self.before[start], "" if start else " "
-        new, parts = [], {}
-        for w in words:
-            if w in before:
-                known[w] = before[w]
-            elif w[-1] in TAILS and w[:-1].isalpha():
-                parts[w] = w[:-1]
-            else:
-                new.append(w)
-        bare = {p for p in parts.values() if p not in known and p not in before}.union(new)
-        marks = [] if "." in self.known[1] else sorted(TAILS)
-        order = list(bare)
-        if order or marks:
-            found = self.encode_words([blank + w for w in order] + marks)
-            known.update(zip(order, found))
-            self.known[1].update(zip(marks, found[len(order) :]))
-        for w, p in parts.items():
-            known[w] = (known.get(p) or before[p]) + self.known[1][w[-1]]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known[0]) + len(self.known[1]) > REMEMBERED:
-            self.before, self.known = self.known, ({}, {})
-        cut = [[line.split(" ") for line in t.split("\n")] if self.by_word and self.plain(t) else None for t in texts]
-        after, start = self.known
-        missing: tuple[set[str], set[str]] = set(), set()
-        for lines in cut:
-            for line in lines or ():
-                missing[1].add(line[0])
-                missing[0].update(line[1:])
-        for k in (1, 0):
-            missing[k].difference_update(self.known[k])
-            if missing[k]:
-                self.learn(missing[k], bool(k))
-        whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
-        get = after.__getitem__
-        return [next(whole) if c is None else self.line.join([start[line[0]] + b"".join(map(get, line[1:])) for line in c]) for c in cut]
-
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Words apart by one blank or line break each, and no other white space or control characters."""
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        return text.replace("\n", "").isprintable()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.mark = MARK.copy()
+        self.mark[[b for t in added for b in t.content.encode()]] = False  # an added token stays in one part
+        before = self.tokenizer.pre_tokenizer
+        self.by_part = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
+        self.by_part &= not any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in added)
+        self.added = any(ONE_PIECE.fullmatch(t.content) for t in added)
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words; of the n-th, ids[start[n] : start[n + 1]]."""
+        self.known: dict[bytes, int] = {}
+        self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
+        """As encode; parts that are one piece skip the pattern."""
+        out: list = [None] * len(parts)
+        for i, p in enumerate(parts):
+            text = p.decode("utf-8")
+            out[i] = [t.id for t in self.tokenizer.model.tokenize(p.decode("latin-1").translate(BYTE_CHARACTERS))] if ONE_PIECE.fullmatch(text) and not self.added else text
+        rest = [i for i, x in enumerate(out) if isinstance(x, str)]
+        for i, ids in zip(rest, self.encode([out[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        found = self.encode_parts(words)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f) for f in found])])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), and where each text's begin and end."""
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        if not self.by_part:
+            found = self.encode([t or "" for t in texts.to_pylist()])
+            np.cumsum([len(f) for f in found], out=bounds[1:])
+            return np.fromiter(chain.from_iterable(found), np.uint32), bounds
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        whole = pa.concat_arrays([texts.drop_null()])
+        held, (first, last) = whole.buffers()[2], np.frombuffer(whole.buffers()[1], np.int32)[[whole.offset, whole.offset + len(whole)]]
+        data = np.frombuffer(held, np.uint8)[first:last] if last > first else np.empty(0, np.uint8)
+        ends = np.cumsum(sizes)
+        if not len(data):
+            return np.empty(0, np.uint32), bounds
+        cuts = np.sort(np.concatenate([[0], part_starts(data, self.mark), ends]))
+        cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if new := [i for i in np.flatnonzero(at < 0).tolist() if len(words[i]) <= WORD_BYTES]:
+            at[new] = len(self.known) + np.arange(len(new))
+            self.learn([words[i] for i in new])
+        starts, ids = self.start, self.ids
+        if len(long := np.flatnonzero(at < 0)):
+            at[long] = len(self.known) + np.arange(len(long))
+            found = self.encode_parts([words[i] for i in long.tolist()])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(f) for f in found])])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        at = at[parts.indices.to_numpy()]
+        n = starts[at + 1] - starts[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])]
+        bounds[1:] = before[np.searchsorted(cuts, ends)]
+        return out, bounds
 
 
 IDS: dict[str, Ids] = {}
+ZERO = np.zeros(1, "<u4")
 
 
-def pieces_of(text_ids: bytes, most: int) -> Iterator[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document's ids, the separator id 0 included."""
-    n = len(text_ids) // 4
+def pieces_of(ids: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32) of a document's little-endian ids, the separator id 0 included."""
+    n = len(ids)
     start = 0
     for piece in range(-(-n // most)):
         end = n - (-(-n // most) - 1 - piece) * most
-        yield piece, start, end - start, zlib.crc32(text_ids[4 * start : 4 * end])
+        yield piece, start, end - start, zlib.crc32(ids[start:end])
         start = end
 
 
@@ -123,14 +156,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = IDS.get(tokenizer) or IDS.setdefault(tokenizer, Ids(tokenizer))
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at, size, rows = 0, 0, []
-            for i, t in enumerate(texts):  # a few MB at a time, however long the texts are
-                size += len(t)
-                if size > 4_000_000 or i == len(texts) - 1:
-                    for name, found in zip(names[at : i + 1], ids.of(texts[at : i + 1])):
-                        rows += [(name, *p) for p in pieces_of(found + b"\0\0\0\0", most)]
-                    at, size = i + 1, 0
+            names, rows = batch.column(0).to_pylist(), []
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(names):  # a few MB at a time, however long the texts are
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000)))
+                found, bounds = ids.of(batch.column(1).slice(at, end - at))
+                found = found.astype("<u4", copy=False)
+                for name, a, b in zip(names[at:end], bounds.tolist(), bounds[1:].tolist()):
+                    rows += [(name, *p) for p in pieces_of(np.append(found[a:b], ZERO), most)]
+                at = end
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
@@ -199,9 +234,11 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, most: int, share: fl
     return used
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing over counts: a step places as many pieces of a length as there are equal bins."""
+def best_fit(lengths: np.ndarray, left: np.ndarray, most: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over counts, also into bins that are begun: a step places as many pieces of a length as there are equal bins."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room left
+    for config, n in begun:
+        bins[most - int(lengths[list(config)].sum())].append((config, n))
     for i in range(len(lengths) - 1, -1, -1):
         size, n = int(lengths[i]), int(left[i])
         while n:
@@ -222,26 +259,42 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, most: int) -> list[tuple[tup
     return [b for of in bins.values() for b in of]
 
 
+def taken(used: dict[tuple[int, ...], float], kinds: np.ndarray, left: np.ndarray, up: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of a fractional solution's configurations over kinds, most used first, as far as left has pieces; left is changed."""
+    out = []
+    for config, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        own, each = np.unique(kinds[list(config)], return_counts=True)
+        n = int(min(times + up, (left[own] // each).min()))
+        if n:
+            out.append((tuple(np.repeat(own, each).tolist()), n))
+            left[own] -= n * each
+    return out
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, most: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
     """Whole numbers of configurations (tuples of length indices) that hold every piece exactly once.
 
-    The fractional solution is rounded, most used first and as far as pieces are left; best-fit decreasing takes the rest.
+    The fractional solution is rounded down, what is left is solved and rounded again, and the last pieces go
+    to the fullest configurations that have room for them. Of several roundings that which needs the fewest
+    sequences is taken; the last one keeps no configuration, so that none is worse than best fit alone.
     """
-    out, left = [], counts.astype(np.int64).copy()
+    whole, left = [], counts.astype(np.int64).copy()
     full = lengths == most
-    out += [((int(i),), int(left[i])) for i in np.flatnonzero(full) if left[i]]
+    whole += [((int(i),), int(left[i])) for i in np.flatnonzero(full) if left[i]]
     left[full] = 0
-    inner = np.flatnonzero(~full & (counts > 0))
-    if len(inner):
-        used = configurations(lengths[inner].astype(np.int64), counts[inner].astype(float), most, rounds=rounds)
-        for config, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            kinds, each = np.unique(inner[list(config)], return_counts=True)
-            n = int(min(round(times), (left[kinds] // each).min()))
-            if n:
-                out.append((tuple(np.repeat(kinds, each).tolist()), n))
-                left[kinds] -= n * each
-        out += best_fit(lengths, left, most)
-    return out
+    plans = []
+    kinds = np.flatnonzero(left)
+    first = configurations(lengths[kinds].astype(np.int64), left[kinds].astype(float), most, rounds=rounds) if len(kinds) else {}
+    for up, again in ((0.0, True), (0.5, False), (None, False)):
+        own, out = left.copy(), []
+        if up is not None:
+            out += taken(first, kinds, own, up)
+        rest = np.flatnonzero(own)
+        if again and len(rest):
+            used = configurations(lengths[rest].astype(np.int64), own[rest].astype(float), most, rounds=rounds // 4)
+            out += taken(used, rest, own, 0.5)
+        plans.append(best_fit(lengths, own, most, out))
+    return whole + min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def pack_pieces(pieces: DataFrame, most: int = 2048, rounds: int = 400) -> DataFrame:
