@@ -19,7 +19,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chaining.without_passages(table(spark, sf_dir, "documents"), least=50, similar=0.8)
-    return rows.select("doc_id", "component_id", "n_words", "n_removed", "n_passages", "others", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select("doc_id", "component_id", "n_words", "n_removed", "n_passages", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
