@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, ordered_index, partitions, staged
+from .common import giving_back, partitions, staged
 from .components import components
 from .rows import in_map, numbered
 from .substring_exact import runs_at_keys
@@ -27,8 +27,13 @@ LANES = 4
 LANE = np.random.default_rng(7).integers(1, 1 << 62, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits in which candidates for a similarity of 0.8 differ at most, of the first 64 and of all; 10 and 39 are expected (12 and 49 in the shortest texts).
 MOST_LANE, MOST_WIDE = 22, 76
-#: Blocks that texts are dealt in, at most; rows of a candidate group's block.
-BLOCKS, GROUP = 64, 500
+#: Bits within which texts of one batch are taken for one when candidates are sought: a text within 50 bits of one of them is within MOST_WIDE of the other.
+TIGHT = 26
+#: Chance that no draw of bits agrees for two texts just at the similarity.
+MISSED = 0.02
+#: Rows of a candidate group's block.
+GROUP = 500
+ENTRY = np.dtype([("key", "<u8"), ("row", "<i8"), ("size", "<i8"), ("fp", "<u8", (LANES,))])
 
 
 def fingerprint(text: str, width: int, xxh64) -> int:
@@ -301,48 +306,124 @@ def shingled(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(giving_back(run), "row long, size long, fp binary, same binary")
 
 
-def candidate_links(texts: DataFrame, similar: float) -> DataFrame:
-    """Edges a, b that keep the components of pairs with at most MOST_WIDE differing bits and sizes that allow the similarity.
+def draws(rows: int, similar: float) -> list[np.ndarray]:
+    """Bits of wide SimHashes, drawn so often that texts of the similarity agree in one draw but for a chance of MISSED.
 
-    Texts are put in the order of their sizes and dealt as BLOCKS blocks or fewer; a block meets itself and those
-    after it that hold a size up to 1 / similar of its largest. All pairs are compared, so the work grows with the
-    square of the texts of similar size.
+    Parts with a threshold of zero each: at a similarity of 0.8, 15 % of the bits differ, and disjoint parts
+    with the thresholds that the pigeonhole needs would meet every tenth pair. A draw has log2(rows) bits, so that few
+    texts agree by chance; draws grow with rows^0.24.
     """
+    alike = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    width = min(48, max(8, math.ceil(math.log2(max(2, rows)))))
+    random = np.random.default_rng(5)
+    return [np.sort(random.choice(64 * LANES, width, replace=False)) for _ in range(math.ceil(math.log(MISSED) / math.log(1 - alike**width)))]
+
+
+def near(e: np.ndarray, x, y, most: int, similar: float) -> np.ndarray:
+    """Which entries of e at x and y have most differing bits or fewer and sizes that allow the similarity."""
+    ok = np.bitwise_count(e["fp"][x, 0] ^ e["fp"][y, 0]) <= MOST_LANE
+    ok &= np.minimum(e["size"][x], e["size"][y]) >= similar * np.maximum(e["size"][x], e["size"][y])
+    if np.ndim(x):
+        x = x[ok]
+    ok[ok] = np.bitwise_count(e["fp"][x] ^ e["fp"][y[ok]]).sum(axis=1, dtype=np.int64) <= most
+    return ok
+
+
+def near_entries(e: np.ndarray, most: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of entries, in the order of their keys, that join near ones of equal keys: a forest.
+
+    In large groups a search goes from each entry to those not yet found, so a group of near copies is passed over about once.
+    """
+    new = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(e)))
+    left = np.repeat(start + size, size) - np.arange(len(e))  # entries of the group from here on
+    at = np.flatnonzero(np.repeat(size <= 32, size))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for d in range(1, 32):
+        at = at[left[at] > d]
+        ok = near(e, at, at + d, most, similar)
+        out.append((e["row"][at[ok]], e["row"][at[ok] + d]))
+    for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist()):
+        unseen = np.arange(s, s + n)
+        while len(unseen):
+            root, unseen = unseen[0], unseen[1:]
+            open_ = [root]
+            while open_ and len(unseen):
+                ok = near(e, open_.pop(), unseen, most, similar)
+                found, unseen = unseen[ok], unseen[~ok]
+                open_ += found.tolist()
+                out.append((e["row"][found], np.full(len(found), e["row"][root])))
+    return forest(*(np.concatenate(c) for c in zip(*out)))
+
+
+def one_of_tight(e: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of large groups of entries in the order of their keys, one of those within TIGHT bits; and links to it."""
+    start = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
+    size = np.diff(np.append(start, len(e)))
+    keep, out = np.ones(len(e), bool), []
+    for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist()):
+        unseen = np.arange(s, s + n)
+        while len(unseen):
+            root, unseen = unseen[0], unseen[1:]
+            ok = np.bitwise_count(e["fp"][unseen] ^ e["fp"][root]).sum(axis=1, dtype=np.int64) <= TIGHT
+            found, unseen = unseen[ok], unseen[~ok]
+            keep[found] = False
+            out.append((e["row"][found], np.full(len(found), e["row"][root])))
+    return e[keep], out
+
+
+def candidate_links(texts: DataFrame, similar: float) -> DataFrame:
+    """Edges a, b that keep the components of pairs that agree in a draw of bits, with at most MOST_WIDE differing bits and sizes that allow the similarity."""
     spark = texts.sparkSession
-    block_rows = max(1000, -(-texts.count() // BLOCKS))
-    ordered = staged(ordered_index(texts.select("size", "row", "fp"), ["size", "row"], "at"), "simhash-ordered").withColumn("block", F.floor(F.col("at") / F.lit(block_rows)))
-    sizes = ordered.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high")).orderBy("block").collect()  # BLOCKS rows at most
-    pairs = [(x["block"], y["block"]) for i, x in enumerate(sizes) for y in sizes[i:] if similar * y["low"] <= x["high"]]
-    tasks = spark.createDataFrame([(x, y, b) for x, y in pairs for b in {x, y}], "x long, y long, block long")
-    dealt = ordered.join(F.broadcast(tasks), "block").withColumn("gid", F.xxhash64("x", "y"))
+    chosen = draws(texts.count(), similar)
+    bits = max(4, (4 * partitions(spark) - 1).bit_length())
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs_at_keys(batches, "gid", 1):
-            gid, x, block, row, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "x", "block", "row", "size"))
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(len(gid), LANES)
-            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            for g in np.unique(gid):
-                own = np.flatnonzero(gid == g)
-                left, right = own[block[own] == x[own]], own
-                if (block[own] != x[own]).any():
-                    right = own[block[own] != x[own]]
-                left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
-                for i in range(0, len(left), 256):
-                    l = left[i : i + 256]
-                    r = right[np.searchsorted(size[right], similar * size[l[0]]) : np.searchsorted(size[right], size[l[-1]] / similar, "right")]
-                    for j in range(0, len(r), 8192):
-                        near = r[j : j + 8192]
-                        a, b = np.nonzero(np.bitwise_count(fp[l, 0][:, None] ^ fp[near, 0]) <= MOST_LANE)
-                        ok = (np.bitwise_count(fp[l[a]] ^ fp[near[b]]).sum(axis=1, dtype=np.int64) <= MOST_WIDE) & (l[a] != near[b])
-                        if ok.any():
-                            found.append(forest(row[l[a[ok]]], row[near[b[ok]]]))
-            a, b = (np.concatenate(c) for c in zip(*found))
-            if len(a):
-                a, b = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "size"))
+            prints = b"".join(batch.column("fp").to_pylist())
+            fp = np.frombuffer(prints, "<u8").reshape(len(row), LANES)
+            ones = np.unpackbits(np.frombuffer(prints, np.uint8).reshape(len(row), -1), axis=1, bitorder="little")
+            parts, packed, edges = [], [], []
+            for k, own in enumerate(chosen):
+                e = np.empty(len(row), ENTRY)
+                value = (ones[:, own].astype(np.uint64) << np.arange(len(own), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                value = (value + np.uint64(k << 48)) * np.uint64(0x9E3779B97F4A7C15)
+                e["key"], e["row"], e["size"], e["fp"] = (value ^ value >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93), row, size, fp
+                e, links = one_of_tight(e[np.lexsort((row, e["key"]))])
+                edges += links
+                ends = [*np.searchsorted(e["key"], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(e)]
+                for i, (s, t) in enumerate(zip([0, *ends], ends)):
+                    if t > s:
+                        parts.append(i)
+                        packed.append(e[s:t].tobytes())
+            if edges:
+                a, b = forest(*(np.concatenate(c) for c in zip(*edges)))
+                parts.append(int(a[0]) & (1 << bits) - 1)
+                packed.append(np.stack([a, b]).tobytes())
+            known = [False] * len(parts)
+            known[len(parts) - bool(edges) :] = [True] * bool(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(known, pa.bool_()), pa.array(packed, pa.binary())], names=["part", "known", "packed"])
 
-    sent = dealt.select("gid", "x", "block", "row", "size", "fp").repartition(max(partitions(spark), 1), "gid").sortWithinPartitions("gid")
-    return sent.mapInArrow(giving_back(find), "a long, b long")
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_at_keys(batches, "part", 1):
+            out, entries = [], []
+            for known, data in zip(batch.column("known").to_pylist(), batch.column("packed").to_pylist()):
+                if known:
+                    out.append(tuple(np.frombuffer(data, np.int64).reshape(2, -1)))
+                else:
+                    entries.append(np.frombuffer(data, ENTRY))
+            if entries:
+                e = np.concatenate(entries)
+                out.append(near_entries(e[np.lexsort((e["row"], e["key"]))], MOST_WIDE, similar))
+            a, b = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    # a row for each part and draw of a batch
+    sent = texts.select("row", "size", "fp").mapInArrow(giving_back(run), "part int, known boolean, packed binary")
+    sent = sent.repartition(partitions(spark), "part").sortWithinPartitions("part")
+    return sent.mapInArrow(giving_back(find), "a long, b long").distinct()
 
 
 def verified_links(rows: DataFrame, candidates: DataFrame, width: int, similar: float) -> DataFrame:
