@@ -74,10 +74,10 @@ def text_quality(text: Column) -> Column:
     s = F.coalesce(text, F.lit(""))
     cyr, lat = F.regexp_count(s, F.lit("[а-яёА-ЯЁ]")), F.regexp_count(s, F.lit("[a-zA-Z]"))
     ratio = F.coalesce(F.try_divide(cyr.cast("double"), cyr + lat), F.lit(0.0))
-    words = F.regexp_extract_all(s, F.lit("([А-Яа-яЁёA-Za-z]{2,})"), 1)
-    with_cyr = F.filter(words, lambda w: w.rlike("[а-яёА-ЯЁ]"))
-    mixed = F.filter(with_cyr, lambda w: w.rlike("[a-zA-Z]"))
-    dirt = F.coalesce(F.try_divide(F.size(mixed).cast("double"), F.size(with_cyr)), F.lit(0.0))
+    # runs of two letters or more, and of those the ones with both alphabets; a run is matched from its start
+    with_cyr = F.regexp_count(s, F.lit("(?=[А-Яа-яЁёA-Za-z]{2})[A-Za-z]*+[А-Яа-яЁё][А-Яа-яЁёA-Za-z]*+"))
+    mixed = F.regexp_count(s, F.lit("(?:[A-Za-z]++[А-Яа-яЁё]|[А-Яа-яЁё]++[A-Za-z])[А-Яа-яЁёA-Za-z]*+"))
+    dirt = F.when(cyr == 0, 0.0).otherwise(F.coalesce(F.try_divide(mixed.cast("double"), with_cyr), F.lit(0.0)))
     low = F.lower(s)
     hits = sum((F.contains(low, F.lit(a)).cast("int") for a in QUALITY_ANCHORS), F.lit(0))
     stripped = F.regexp_replace(s, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")

@@ -18,12 +18,25 @@ def new_services(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def new_partners(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Of incoming (name, bin, seq) the first of each that known has neither by BIN nor by normalised name."""
+    """Of incoming (name, bin, seq), in the order of seq, those whose BIN and normalised name no partner has: neither a known one nor an incoming one that is new itself.
+
+    A round takes the rows that come first by BIN and by name, and drops the others with their BINs or names; rows that
+    only met a dropped row wait for the next round.
+    """
     key = lambda rows: rows.withColumn("norm", text.normalize_name(F.col("name")))
-    rows, there = key(incoming), key(known)
-    rows = rows.join(there.filter("bin is not null").select("bin").distinct(), "bin", "left_anti").join(there.select("norm").distinct(), "norm", "left_anti")
-    first = Window.partitionBy("norm").orderBy("seq")
-    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    there = key(known)
+
+    def others(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of.filter("bin is not null").select("bin").distinct(), "bin", "left_anti").join(of.select("norm").distinct(), "norm", "left_anti")
+
+    left = others(key(incoming), there).select(*incoming.columns, "norm")
+    out = left.limit(0)
+    while left.limit(1).count():
+        by = lambda c: F.min("seq").over(Window.partitionBy(c))
+        marked = left.withColumns({"first_name": by("norm"), "first_bin": by("bin")})
+        first = marked.filter((F.col("seq") == F.col("first_name")) & (F.col("bin").isNull() | (F.col("seq") == F.col("first_bin")))).drop("first_name", "first_bin").persist()
+        out, left = out.unionByName(first), others(left, first).select(*left.columns).persist()
+    return out
 
 
 def synthetic_catalog(items: DataFrame, least: int = 1) -> DataFrame:

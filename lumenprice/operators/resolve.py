@@ -184,9 +184,11 @@ def manual_match(items: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def learn_synonyms(services: DataFrame, learned: DataFrame) -> DataFrame:
-    """service_id and the synonyms it learns (service_id, raw): raw names that normalise differently from its name, one of each form."""
-    rows = learned.withColumn("form", text.normalize(F.col("raw"))).join(services.select("service_id", text.normalize(F.col("service_name")).alias("own")), "service_id")
-    first = rows.filter("form <> own and form <> ''").groupBy("service_id", "form").agg(F.min("raw").alias("raw"))
+    """service_id and the synonyms it learns (service_id, raw): raw names that normalise differently from its name and its synonyms (an array, if there is one), one of each form."""
+    there = F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), text.normalize) if "synonyms" in services.columns else F.array().cast("array<string>")
+    own = services.select("service_id", F.array_append(there, text.normalize(F.col("service_name"))).alias("own"))
+    rows = learned.withColumn("form", text.normalize(F.col("raw"))).join(own, "service_id")
+    first = rows.filter(~F.array_contains("own", F.col("form")) & (F.col("form") != "")).groupBy("service_id", "form").agg(F.min("raw").alias("raw"))
     return first.groupBy("service_id").agg(F.array_sort(F.collect_list("raw")).alias("synonyms"))
 
 

@@ -193,9 +193,9 @@ def version_active(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).filter("is_current").select("partner_id", "service_id", "item_id", "effective_date")
 
 
-@query(f"{W} SELECT partner_id, service_id, effective_date, count(*) AS n FROM items WHERE service_id IS NOT NULL AND effective_date IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query(f"{W} SELECT partner_id, service_id, CAST(date_trunc('year', effective_date) AS DATE) AS effective_date, count(*) AS n FROM items WHERE service_id IS NOT NULL AND effective_date IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def duplicate_same_date(spark: SparkSession, d: str) -> DataFrame:
-    rows = domain.items(spark, d).filter("service_id is not null and effective_date is not null")
+    rows = domain.items(spark, d).filter("service_id is not null and effective_date is not null").withColumn("effective_date", F.trunc("effective_date", "year"))
     return rows.groupBy("partner_id", "service_id", "effective_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
@@ -286,13 +286,14 @@ def manual_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{W}, l AS (SELECT service_id, category || ' ' || lower(service_name) AS raw FROM services UNION ALL SELECT service_id, upper(service_name) FROM services UNION ALL SELECT service_id, upper(category || ' ' || service_name) FROM services),
-  n AS (SELECT l.service_id, raw, trim(regexp_replace(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS form, trim(regexp_replace(regexp_replace(lower(service_name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS own FROM l JOIN services s ON l.service_id = s.service_id),
-  f AS (SELECT service_id, form, min(raw) AS raw FROM n WHERE form <> own GROUP BY 1, 2) SELECT service_id, string_agg(raw, '|' ORDER BY raw) AS synonyms FROM f GROUP BY 1""")
+  n AS (SELECT l.service_id, raw, trim(regexp_replace(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS form, trim(regexp_replace(regexp_replace(lower(service_name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS own, s.service_id % 2 = 0 AND lower(raw) = lower(s.category || ' ' || s.service_name) AS there FROM l JOIN services s ON l.service_id = s.service_id),
+  f AS (SELECT service_id, form, min(raw) AS raw FROM n WHERE form <> own AND NOT there GROUP BY 1, 2) SELECT service_id, string_agg(raw, '|' ORDER BY raw) AS synonyms FROM f GROUP BY 1""")
 def learn_synonyms(spark: SparkSession, d: str) -> DataFrame:
     rows = domain.services(spark, d)
     learned = [F.concat_ws(" ", "category", F.lower("service_name")), F.upper("service_name"), F.upper(F.concat_ws(" ", "category", "service_name"))]
     raw = rows.select("service_id", F.explode(F.array(*learned)).alias("raw"))
-    return resolve.learn_synonyms(rows, raw).select("service_id", F.array_join("synonyms", "|").alias("synonyms"))
+    known = rows.withColumn("synonyms", F.when(F.col("service_id") % 2 == 0, F.array(F.concat_ws(" ", "category", "service_name"))))
+    return resolve.learn_synonyms(known, raw).select("service_id", F.array_join("synonyms", "|").alias("synonyms"))
 
 
 @query(f"""{W}, i AS (SELECT s.service_name AS name, s.category, i.doc_id, i.line, i.item_id FROM items i JOIN services s ON i.part_id = s.service_id),
@@ -319,9 +320,12 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     return catalog.new_services(rows.filter("service_id % 2 = 0"), rows.filter("service_id % 2 = 1")).select("service_id", "service_name")
 
 
-@query("""WITH p AS (SELECT s_suppkey AS seq, 'ТОО ' || n_name || ' ' || s_suppkey % 7 AS name, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 20 AS VARCHAR) END AS bin FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-  m AS (SELECT *, lower(substr(name, 5)) AS norm FROM p), k AS (SELECT * FROM m WHERE seq % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY seq) AS o FROM m WHERE seq % 5 <> 0
-  AND coalesce(bin, '') NOT IN (SELECT bin FROM k WHERE bin IS NOT NULL) AND norm NOT IN (SELECT norm FROM k)) SELECT seq, norm FROM r WHERE o = 1""")
+@query("""WITH RECURSIVE p AS (SELECT s_suppkey AS seq, 'ТОО ' || n_name || ' ' || s_suppkey % 7 AS name, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 20 AS VARCHAR) END AS bin FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  m AS (SELECT *, lower(substr(name, 5)) AS norm FROM p), n AS (SELECT *, row_number() OVER (ORDER BY seq) AS o FROM m WHERE seq % 5 <> 0),
+  s AS (SELECT CAST(0 AS BIGINT) AS o, list(bin) FILTER (bin IS NOT NULL) AS bins, list(norm) AS norms, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS norm FROM m WHERE seq % 5 = 0
+    UNION ALL SELECT n.o, CASE WHEN fresh AND bin IS NOT NULL THEN list_append(bins, bin) ELSE bins END, CASE WHEN fresh THEN list_append(norms, n.norm) ELSE norms END, CASE WHEN fresh THEN n.seq END, n.norm
+    FROM (SELECT n.*, s.bins, s.norms, NOT (bin IS NOT NULL AND coalesce(list_contains(s.bins, bin), FALSE)) AND NOT coalesce(list_contains(s.norms, n.norm), FALSE) AS fresh FROM s JOIN n ON n.o = s.o + 1) n)
+  SELECT CAST(seq AS BIGINT) AS seq, norm FROM s WHERE seq IS NOT NULL""")
 def partner_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = domain.partners(spark, d).select(
         F.col("partner_id").alias("seq"), F.concat(F.lit("ТОО "), "city", F.lit(" "), F.col("partner_id") % 7).alias("name"), F.when(F.col("partner_id") % 4 == 0, (F.col("partner_id") % 20).cast("string")).alias("bin")

@@ -281,7 +281,11 @@ def line_gap_limit(spark: SparkSession, d: str) -> DataFrame:
     return geometry.line_gap(_words(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(top, 0), x0, top) AS o FROM words),
+  f AS (SELECT doc_id, page, [arg_min(top, o)] AS tops FROM o GROUP BY 1, 2
+    UNION ALL SELECT f.doc_id, f.page, list_append(any_value(f.tops), arg_min(o.top, o.o)) FROM f JOIN o ON f.doc_id = o.doc_id AND f.page = o.page WHERE len(list_filter(f.tops, lambda t: abs(t - o.top) <= 3.0)) = 0 GROUP BY f.doc_id, f.page),
+  b AS (SELECT doc_id, page, arg_max(tops, len(tops)) AS tops FROM f GROUP BY 1, 2)
+  SELECT w.doc_id, w.page, text, x0, x1, top, bottom, CAST(list_position(list_sort(tops), list_filter(tops, lambda t: abs(t - top) <= 3.0)[1]) - 1 AS INTEGER) AS line FROM words w JOIN b ON w.doc_id = b.doc_id AND w.page = b.page""")
 def group_rows(spark: SparkSession, d: str) -> DataFrame:
     return geometry.group_rows(_words(spark, d).drop("line"))
 

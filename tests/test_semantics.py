@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenprice.functions import money, text
-from lumenprice.operators import geometry, readmodel, resolve, search, similarity, versioning
+from lumenprice.operators import catalog, geometry, readmodel, resolve, search, similarity, versioning
 
 
 def column(spark, values, f, kind="string"):
@@ -92,7 +92,7 @@ def test_cascade_levels(spark):
 
 
 def test_stitching():
-    row = lambda top, name="", code="", price="", boundary=False: {"top": top, "name": name, "code": code, "price": price, "boundary": boundary}
+    row = lambda top, name="", code="", price="", boundary=False: {"top": top, "name": name, "code": code, "price": price, "boundary": boundary, "anchor": bool(price) and not name}
     below = geometry.stitch([row(0, "", "", "100"), row(10, "Общий анализ", "A1"), row(20, "крови"), row(30, "Другая", "", "5")], 15)
     assert [r["name"] for r in below] == ["Общий анализ крови", "Другая"]
     gap = geometry.stitch([row(0, "", "", "100"), row(40, "Далеко")], 15)
@@ -103,5 +103,25 @@ def test_stitching():
     assert len(code) == 2
 
 
+def test_stitching_shares_runs(spark):
+    rows = [(1, 1, i, 10.0 * i, n, c, p, 15.0) for i, (n, c, p) in enumerate([
+        ("", "A1", "100"), ("Анализ", None, None), ("крови (общий,", None, None), ("Развернутый)", None, None), ("Мазок", "B2", None), ("из зева", None, None), ("2.", None, "200"),
+        ("ГОРМОНЫ КРОВИ", None, None), ("7)", None, "300"), ("Тестостерон", None, None), ("свободный", "C3", ""), ("Прием", "D4", "400"), ("ночной", "E5", None),
+    ])]
+    cells = spark.createDataFrame(rows, "doc_id long, page int, line int, top double, name string, code string, price string, gap double")
+    found = [(r["name"], r["code"], r["price"]) for r in geometry.stitch_rows(cells, indexed=True).orderBy("line").collect()]
+    assert found == [
+        ("Анализ крови (общий, Развернутый)", "A1", "100"), ("Мазок из зева", "B2", "200"), ("ГОРМОНЫ КРОВИ", "", ""), ("Тестостерон свободный", "C3", "300"), ("Прием", "D4", "400"), ("ночной", "E5", ""),
+    ]
+    assert geometry.stitch_rows(cells).count() == 10  # a row number is a name here
+
+
+def test_new_partners_in_order(spark):
+    kind = "seq int, name string, bin string"
+    rows = spark.createDataFrame([(1, "ТОО А", "1"), (2, "Б", "1"), (3, "Б", None), (4, "а", "9"), (5, "В", "9"), (6, "Г", "7"), (7, "Г", "8"), (8, "Д", "8")], kind)
+    known = spark.createDataFrame([(0, "г", None)], kind)
+    assert sorted(r["seq"] for r in catalog.new_partners(rows, known).collect()) == [1, 3, 5, 8]
+
+
 def test_stems():
     assert search.stem("консультация") == search.stem("консультации") and search.stem("анализы") == search.stem("анализов") and search.stem("blood") == "blood"
