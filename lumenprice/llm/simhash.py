@@ -377,34 +377,32 @@ def candidate_links(texts: DataFrame, similar: float) -> DataFrame:
     """Edges a, b that keep the components of pairs that agree in a draw of bits, with at most MOST_WIDE differing bits and sizes that allow the similarity."""
     spark = texts.sparkSession
     chosen = draws(texts.count(), similar)
-    bits = max(4, (4 * partitions(spark) - 1).bit_length())
+    bits = max(4, (2 * partitions(spark) - 1).bit_length())
+    edges_of = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 5_000) for b in batches for i in range(0, b.num_rows, 5_000)):
             row, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "size"))
             prints = b"".join(batch.column("fp").to_pylist())
             fp = np.frombuffer(prints, "<u8").reshape(len(row), LANES)
             ones = np.unpackbits(np.frombuffer(prints, np.uint8).reshape(len(row), -1), axis=1, bitorder="little")
-            parts, packed, edges = [], [], []
+            entries, edges = [], []
             for k, own in enumerate(chosen):
                 e = np.empty(len(row), ENTRY)
                 value = (ones[:, own].astype(np.uint64) << np.arange(len(own), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
                 value = (value + np.uint64(k << 48)) * np.uint64(0x9E3779B97F4A7C15)
                 e["key"], e["row"], e["size"], e["fp"] = (value ^ value >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93), row, size, fp
                 e, links = one_of_tight(e[np.lexsort((row, e["key"]))])
+                entries.append(e)
                 edges += links
-                ends = [*np.searchsorted(e["key"], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(e)]
-                for i, (s, t) in enumerate(zip([0, *ends], ends)):
-                    if t > s:
-                        parts.append(i)
-                        packed.append(e[s:t].tobytes())
+            e = np.concatenate(entries)
+            e = e[np.argsort(e["key"], kind="stable")]
+            ends = [*np.searchsorted(e["key"], edges_of).tolist(), len(e)]
+            made = [(i, False, e[s:t].tobytes()) for i, (s, t) in enumerate(zip([0, *ends], ends)) if t > s]
             if edges:
                 a, b = forest(*(np.concatenate(c) for c in zip(*edges)))
-                parts.append(int(a[0]) & (1 << bits) - 1)
-                packed.append(np.stack([a, b]).tobytes())
-            known = [False] * len(parts)
-            known[len(parts) - bool(edges) :] = [True] * bool(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(known, pa.bool_()), pa.array(packed, pa.binary())], names=["part", "known", "packed"])
+                made.append((int(a[0]) & (1 << bits) - 1, True, np.stack([a, b]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "known", "packed"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs_at_keys(batches, "part", 1):
@@ -420,7 +418,7 @@ def candidate_links(texts: DataFrame, similar: float) -> DataFrame:
             a, b = (np.concatenate(c) for c in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    # a row for each part and draw of a batch
+    # a row for each part of a batch
     sent = texts.select("row", "size", "fp").mapInArrow(giving_back(run), "part int, known boolean, packed binary")
     sent = sent.repartition(partitions(spark), "part").sortWithinPartitions("part")
     return sent.mapInArrow(giving_back(find), "a long, b long").distinct()
