@@ -31,9 +31,9 @@ class Rows:
 
         names = [c.strip().split(" ", 1) for c in self.schema.split(", ")]
         kinds = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
-        casts = ", ".join(f"CAST({n} AS {kinds.get(k, k)}) AS {n}" for n, k in names)
+        casts = ", ".join(f'CAST("{n}" AS {kinds.get(k, k)}) AS "{n}"' for n, k in names)
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return f"(SELECT {casts} FROM (VALUES {values}) v({', '.join(n for n, _ in names)}))"
+        return f"(SELECT {casts} FROM (VALUES {values}) v({', '.join(f'"{n}"' for n, _ in names)}))"
 
 
 D = Decimal
