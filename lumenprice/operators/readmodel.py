@@ -109,3 +109,33 @@ def search_simple(services: DataFrame, partners: DataFrame, query: str) -> DataF
     own = F.split(F.lower("title"), r"[^\p{L}\p{N}_]+")
     all_words = F.size(F.array_except(F.array(*map(F.lit, words)), own)) == 0
     return rows.withColumn("rank", F.when(all_words, 1.0).otherwise(0.0)).filter(all_words | F.col("title").ilike(f"%{query}%"))
+
+
+def existing(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ids."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def bars(rows: DataFrame, value: str) -> DataFrame:
+    """Adds percent: the value's share of the greatest one, rounded, 0 to 100."""
+    most = rows.agg(F.greatest(F.max(value), F.lit(1)).alias("most"))  # one row
+    share = F.round(F.col(value) * 100.0 / F.when(F.col("most") > 0, F.col("most")).otherwise(1))
+    return rows.crossJoin(F.broadcast(most)).withColumn("percent", F.greatest(F.lit(0), F.least(F.lit(100), share.cast("int")))).drop("most")
+
+
+# Statuses in the order in which they are shown; unknown ones come first.
+STATUS_ORDER = ("done", "processing", "pending", "needs_review", "error")
+
+
+def status_place(status: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, STATUS_ORDER)), status) - 1
+
+
+def envelope(hits: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One row: query, total (of this page's hits, not of all) and results, an array by rank, then kind and id; a blank query has none."""
+    asked = query.strip()
+    order = [F.col("rank").desc(), F.col("kind"), F.col("id")]
+    shown = hits.filter(F.lit(asked != "")).orderBy(*order).offset(offset).limit(limit).select((-F.col("rank")).alias("o"), "kind", "id", "title", "category")
+    found = shown.agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.struct("o", "kind", "id", "title", "category"))).alias("results"))
+    named = lambda r: F.struct(r["kind"].alias("kind"), r["id"].alias("id"), r["title"].alias("title"), r["category"].alias("category"), (-r["o"]).alias("rank"))
+    return found.select(F.lit(asked).alias("query"), "total", F.transform("results", named).alias("results"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions import text
@@ -208,3 +208,43 @@ def arbiter_pending(band: DataFrame, cache: DataFrame) -> DataFrame:
     return band.select("cache_key").distinct().join(cache, "cache_key", "left_anti")
 
 
+
+
+def rerank(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """candidates (item_id, service_id, score, method, rank) with a reranker's answers (item_id, service_id, score).
+
+    A row with an answer has the higher of both scores and the method rerank; ranks follow the scores, and of equal
+    ones the ranks before. An item of a single candidate isn't reranked.
+    """
+    said = answers.select("item_id", "service_id", F.col("score").alias("said"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("item_id")) > 1
+    rows = candidates.join(said, ["item_id", "service_id"], "left").withColumn("said", F.when(many, F.col("said")))
+    rows = rows.withColumns({"score": F.greatest("score", "said"), "method": F.when(F.col("said").isNotNull(), "rerank").otherwise(F.col("method"))})
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "rank")) - 1
+    return rows.withColumn("rank", rank).drop("said")
+
+
+def arbitrate(candidates: DataFrame, answers: DataFrame, asked: int = 5) -> DataFrame:
+    """item_id, service_id, score, method, arbiter of the items whose best candidate an arbiter has to judge.
+
+    answers: item_id, choice (from 1 in rank order; anything else is no) and confidence. Without an answer the method is none
+    and the arbiter null.
+    """
+    best = candidates.filter("rank = 0").filter((F.col("score") >= LOW) & (F.col("score") < HIGH)).select("item_id", F.col("score").alias("best"))
+    picked = candidates.filter(F.col("rank") < asked).select("item_id", (F.col("rank") + 1).alias("choice"), "service_id", "score")
+    rows = best.join(answers, "item_id", "left").join(picked, ["item_id", "choice"], "left")
+    yes = F.col("service_id").isNotNull()
+    return rows.select(
+        "item_id", "service_id", F.when(yes, F.greatest("score", "confidence")).otherwise(F.col("best")).alias("score"),
+        F.when(yes, "llm").otherwise("none").alias("method"), F.when(yes, "yes").when(F.col("choice").isNotNull(), "no").alias("arbiter"),
+    )
+
+
+def accuracy(items: DataFrame, services: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """checked, correct and share of an arbiter's matches (item_id, service_id, method) of items whose code names one service."""
+    codes = services.filter("is_active").select(text.normalize_code(F.col("icd_code")).alias("key"), F.col("service_id").alias("truth")).filter("key is not null")
+    single = codes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("truth").alias("truth")).filter("n = 1")
+    known = items.select("item_id", text.normalize_code(F.col("code")).alias("key")).join(single, "key")
+    rows = known.join(outcomes.filter("method = 'llm' and service_id is not null"), "item_id")
+    right = F.count_if(F.col("service_id") == F.col("truth"))
+    return rows.agg(F.count(F.lit(1)).alias("checked"), right.alias("correct"), F.round(F.try_divide(right * 100.0, F.count(F.lit(1))), 1).alias("share"))

@@ -1,14 +1,15 @@
-"""Queries of table interpretation: roles of columns, row filters, and items of tables."""
+"""Queries of table interpretation (roles of columns, row filters, items) and of what is done with candidates and hits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenprice.operators import geometry, tables
-from lumenprice.plans import domain, inline
+from lumenprice.operators import geometry, readmodel, resolve, tables
+from lumenprice.plans import domain, inline, relational
 from lumenprice.plans.registry import query
-from lumenprice.plans.scalar import _amount_sql, _count
+from lumenprice.plans.scalar import CODE, _amount_sql, _count, _quality_sql
+from lumenprice.sources import files
 
 CAPTIONS = inline.Rows("doc_id long, column int, cell string", [(i, j, c) for i, row in enumerate((
     ("№", "Код", "Наименование услуги", "Цена для граждан РК", "Цена СНГ"), ("Услуга", "Название", "Шифр", "Стоимость"), ("№ п/п", "Код услуги", "Вид помощи", "Тариф"),
@@ -160,3 +161,78 @@ def table_items(spark: SparkSession, d: str) -> DataFrame:
     found = tables.items(cells, tables.table_roles(cells, header))
     listed = F.transform("prices", lambda p: F.concat(p["label"], F.lit("="), p["amount"].cast("string")))
     return found.select("doc_id", "row", "name", "code", "category", F.array_join(listed, "|").alias("prices"))
+
+
+@query(f"""{relational.LISTS}, a AS (SELECT *, count(*) OVER (PARTITION BY item_id) > 1 AND service_id % 2 = 0 AS said FROM m),
+  g AS (SELECT *, CASE WHEN said THEN greatest(score, CAST(service_id % 10 AS DOUBLE) / 10) ELSE score END AS s FROM a)
+  SELECT item_id, service_id, s AS score, CASE WHEN said THEN 'rerank' ELSE method END AS method, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, rank) - 1 AS rank FROM g""")
+def rerank(spark: SparkSession, d: str) -> DataFrame:
+    found = relational._merged(spark, d)
+    answers = found.filter("service_id % 2 = 0").select("item_id", "service_id", (F.col("service_id") % 10).cast("double").alias("score")).withColumn("score", F.col("score") / 10)
+    return resolve.rerank(found, answers).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""{relational.LISTS}, s AS (SELECT item_id, service_id, rank, round(score * 0.6, 6) AS score FROM m), b AS (SELECT item_id, score, CASE WHEN service_id % 5 <> 0 THEN service_id % 4 END AS choice FROM s WHERE rank = 0 AND score >= 0.4 AND score < 0.85)
+  SELECT b.item_id, s.service_id, CASE WHEN s.service_id IS NOT NULL THEN greatest(s.score, 0.5) ELSE b.score END AS score, CASE WHEN s.service_id IS NOT NULL THEN 'llm' ELSE 'none' END AS method,
+  CASE WHEN s.service_id IS NOT NULL THEN 'yes' WHEN choice IS NOT NULL THEN 'no' END AS arbiter FROM b LEFT JOIN s ON b.item_id = s.item_id AND s.rank + 1 = choice AND s.rank < 5""")
+def arbitrate(spark: SparkSession, d: str) -> DataFrame:
+    found = relational._merged(spark, d).withColumn("score", F.round(F.col("score") * 0.6, 6))
+    first = found.filter("rank = 0 and service_id % 5 <> 0")
+    return resolve.arbitrate(found, first.select("item_id", (F.col("service_id") % 4).alias("choice"), F.lit(0.5).alias("confidence")))
+
+
+@query(f"""{relational.W}, k AS (SELECT {CODE.format('icd_code')} AS key, min(service_id) AS truth FROM services WHERE is_active GROUP BY 1 HAVING count(*) = 1),
+  o AS (SELECT part_id + line % 2 AS service_id, {CODE.format('s.icd_code')} AS key FROM items i JOIN services s ON i.part_id = s.service_id WHERE line % 3 = 0)
+  SELECT count(*) AS checked, count(*) FILTER (service_id = truth) AS correct, round(count(*) FILTER (service_id = truth) * 100.0 / count(*), 1) AS share FROM o JOIN k USING (key)""")
+def match_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    services = domain.services(spark, d)
+    rows = domain.items(spark, d).withColumn("item_id", F.monotonically_increasing_id()).join(services.select(F.col("service_id").alias("part_id"), F.col("icd_code").alias("code")), "part_id")
+    rows = rows.select(F.struct("item_id").alias("item_id"), "code", (F.col("part_id") + F.col("line") % 2).alias("service_id"), F.when(F.col("line") % 3 == 0, "llm").otherwise("fuzzy").alias("method"))
+    return resolve.accuracy(rows.select("item_id", "code"), services, rows.select("item_id", "service_id", "method"))
+
+
+@query(f"{relational.W} SELECT service_id, service_name FROM services WHERE service_id IN (SELECT service_id FROM items WHERE is_active)")
+def existing_services(spark: SparkSession, d: str) -> DataFrame:
+    return readmodel.existing(domain.services(spark, d), domain.items(spark, d).filter("is_active"), "service_id").select("service_id", "service_name")
+
+
+@query(f"{relational.W}, n AS (SELECT partner_id, count(*) AS items FROM items GROUP BY 1) SELECT *, CAST(round(items * 100.0 / max(items) OVER ()) AS INTEGER) AS percent FROM n")
+def partner_bars(spark: SparkSession, d: str) -> DataFrame:
+    return readmodel.bars(domain.items(spark, d).groupBy("partner_id").agg(F.count(F.lit(1)).alias("items")), "items")
+
+
+@query(f"{relational.W} SELECT parse_status, count(*) AS n, list_position(['done', 'processing', 'pending', 'needs_review', 'error'], parse_status) - 1 AS place FROM docs GROUP BY 1")
+def status_order(spark: SparkSession, d: str) -> DataFrame:
+    return domain.documents(spark, d).groupBy("parse_status").agg(F.count(F.lit(1)).alias("n")).withColumn("place", readmodel.status_place(F.col("parse_status")))
+
+
+@query(f"""{relational.W}, h AS (SELECT 'service' AS kind, service_id AS id, service_name AS title FROM services WHERE is_active UNION ALL SELECT 'partner', partner_id, name FROM partners WHERE is_active),
+  r AS (SELECT *, CAST(list_contains(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+'), 'red') AS INTEGER) AS rank FROM h WHERE title ILIKE '%red%' ORDER BY rank DESC, kind, id LIMIT 20)
+  SELECT 'red' AS query, count(*) AS total, coalesce(string_agg(kind || id, ' ' ORDER BY rank DESC, kind, id), '') AS results FROM r""")
+def search_envelope(spark: SparkSession, d: str) -> DataFrame:
+    hits = readmodel.search_simple(domain.services(spark, d), domain.partners(spark, d), "red")
+    return readmodel.envelope(hits, " red ").withColumn("results", F.array_join(F.transform("results", lambda r: F.concat(r["kind"], r["id"].cast("string"))), " "))
+
+
+@query("""SELECT l_orderkey AS doc_id, 1 AS page, 'Цена ' || l_partkey AS text, x * u AS x0, x * u + 90 * u AS x1, y * u AS top, y * u + 33 * u AS bottom FROM (
+  SELECT *, CAST(l_suppkey AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) * 40 AS y, CAST(0.24 AS DOUBLE) AS u FROM lineitem) WHERE l_partkey % 7 <> 0 AND NOT (l_partkey % 60 - 1 BETWEEN 0 AND 29)""")
+def scaled_words(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("l_partkey")
+    found = domain.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.when(part % 7 == 0, "  ").otherwise(F.concat(F.lit(" Иена  "), part)).alias("text"), (part % 60 - 1).cast("double").alias("conf"),
+        F.col("l_suppkey").cast("double").alias("x"), (F.col("l_linenumber").cast("double") * 40).alias("y"), F.lit(90.0).alias("width"), F.lit(33.0).alias("height"),
+    )
+    return geometry.scaled_words(found, 300)
+
+
+@query(f"""SELECT id AS doc_id, CASE WHEN is_corrupt THEN 'scan_pdf' ELSE 'pdf' END AS file_format FROM (
+  {_quality_sql("(SELECT doc_id // 4 AS id, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id % 4 < 3 GROUP BY 1 UNION ALL SELECT -id, body FROM " + inline.PAGES.sql() + ")")})""")
+def classify_pdf(spark: SparkSession, d: str) -> DataFrame:
+    pages = domain.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4 + 1).alias("page"), "text")
+    return files.classify_pdf(pages.unionByName(inline.PAGES.frame(spark).select((-F.col("id")).alias("doc_id"), F.lit(1).cast("long").alias("page"), F.col("body").alias("text"))))
+
+
+@query("SELECT doc_id, length(substr(text, 1, 2000)) AS n, md5(substr(text, 1, 2000)) AS digest FROM documents")
+def kept_names(spark: SparkSession, d: str) -> DataFrame:
+    name = files.kept(F.col("text"), "raw_name")
+    return domain.table(spark, d, "documents").select("doc_id", F.length(name).cast("long").alias("n"), F.md5(name.cast("binary")).alias("digest"))

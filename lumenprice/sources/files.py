@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenprice.functions.text import text_quality
+
 # Fixed values of the contract: first bytes of the formats, and what is kept of dumps and names.
 PDF, ZIP, OLE = "25504446", "504B0304", "D0CF11E0"
 KEPT = {"sheet_dump": 500_000, "document_dump": 1_000_000, "log": 50_000, "raw_name": 2000}
@@ -37,6 +39,18 @@ def detect_format(name: Column, kind: Column) -> Column:
     )
 
 
+def kept(value: Column, what: str) -> Column:
+    """As much of a text as the contract keeps of this kind (KEPT)."""
+    return F.substring(value, 1, KEPT[what])
+
+
+def classify_pdf(pages: DataFrame, first: int = 3) -> DataFrame:
+    """doc_id, file_format of PDF pages (doc_id, page from 1, text): scan_pdf where the first pages' text can't be read."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    texts = pages.filter(F.col("page") <= first).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+    return texts.select("doc_id", F.when(text_quality(F.col("text"))["is_corrupt"], "scan_pdf").otherwise("pdf").alias("file_format"))
+
+
 def effective_date(name: Column, text: Column) -> Column:
     """A full date in the name, else January 1 of its first year, else of the first year in the text's first 2000 characters."""
     day, month, year = (F.regexp_extract(name, r"([0-9]{1,2})[.\-_]([0-9]{1,2})[.\-_](20[0-9]{2})", i) for i in (1, 2, 3))
