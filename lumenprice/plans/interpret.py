@@ -186,8 +186,8 @@ def arbitrate(spark: SparkSession, d: str) -> DataFrame:
   SELECT count(*) AS checked, count(*) FILTER (service_id = truth) AS correct, round(count(*) FILTER (service_id = truth) * 100.0 / count(*), 1) AS share FROM o JOIN k USING (key)""")
 def match_accuracy(spark: SparkSession, d: str) -> DataFrame:
     services = domain.services(spark, d)
-    rows = domain.items(spark, d).withColumn("item_id", F.monotonically_increasing_id()).join(services.select(F.col("service_id").alias("part_id"), F.col("icd_code").alias("code")), "part_id")
-    rows = rows.select(F.struct("item_id").alias("item_id"), "code", (F.col("part_id") + F.col("line") % 2).alias("service_id"), F.when(F.col("line") % 3 == 0, "llm").otherwise("fuzzy").alias("method"))
+    rows = domain.items(spark, d).join(services.select(F.col("service_id").alias("part_id"), F.col("icd_code").alias("code")), "part_id")
+    rows = rows.select("item_id", "code", (F.col("part_id") + F.col("line") % 2).alias("service_id"), F.when(F.col("line") % 3 == 0, "llm").otherwise("fuzzy").alias("method"))
     return resolve.accuracy(rows.select("item_id", "code"), services, rows.select("item_id", "service_id", "method"))
 
 
