@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chaining, extraction, mixing, packing, sharding, simhash, substring_exact, topk, toxicity
+from . import ann, chaining, extraction, mixing, outliers, packing, sharding, simhash, substring_exact, topk, toxicity
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), most=2048)
 
 
+def op13_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = outliers.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_collinear_chaining": op2_collinear_chaining,
@@ -66,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_polytope_search": op8_cross_polytope_search,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op13_quality_outliers": op13_quality_outliers,
 }
 SQL: dict[str, str] = {}
