@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions import text
-from lumenprice.operators.blocks import best_in_blocks, top
+from lumenprice.operators.blocks import top
+from lumenprice.operators.fuzzy import nearest_entries
+from lumenprice.operators.neighbours import nearest
 from lumenprice.operators.similarity import partial_ratio, ratio, sorted_tokens
+from lumenprice.sources.stored import stored
 
 # Fixed values of the contract.
 HIGH, LOW, FUZZY_AUTO = 0.85, 0.40, 0.92
 LEXICAL, VECTORS, POOL, STORED, ARBITER = 20, 45, 50, 10, 5
 CODE_UNIQUE, CODE_LEAST = 0.98, 0.95
+VERDICT = "item_id string, choice int, confidence double"
+
+
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 def lexical_index(services: DataFrame) -> DataFrame:
@@ -47,28 +54,18 @@ def fuzzy_top(names: DataFrame, index: DataFrame, limit: int = LEXICAL) -> DataF
     Entries are ranked by the ratio of sorted tokens and cut at twice the limit; of these each service's
     best entry counts, and the score is the larger of that ratio and its mean with the partial ratio.
     """
-    queries = names.select("name").distinct().withColumn("entry", text.normalize(F.col("name"))).withColumn("id", F.col("name"))
-    catalog = index.withColumn("id", F.struct("service_id", "seq"))
-
-    def score(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        entries = [(sorted_tokens(e), s, n, e) for e, s, n in zip(c["entry"], c["service_id"], c["seq"])]
-        for name, entry in zip(q["name"], q["entry"]):
-            own = sorted_tokens(entry)
-            rated = sorted(((-ratio(own, e), s, n, raw) for e, s, n, raw in entries))[: 2 * limit]
-            out += [(name, entry, s, n, raw, -r) for r, s, n, raw in rated]
-        return pd.DataFrame(out, columns=["name", "query", "service_id", "seq", "entry", "ts"])
-
-    rated = best_in_blocks(queries, catalog, score, "name string, query string, service_id long, seq int, entry string, ts double")
-    short = top(rated, 2 * limit, ["name"], [F.col("ts").desc(), "service_id", "seq"]).drop("rank")
-    own = top(short, 1, ["name", "service_id"], [F.col("ts").desc(), "seq"]).drop("rank")
+    queries = names.select("name").distinct().withColumn("entry_of", text.normalize(F.col("name")))
+    rated = nearest_entries(queries, index, 2 * limit)
+    own = stored(top(rated, 1, ["entry_of", "service_id"], [F.col("ts").desc(), "seq"]).drop("rank"), "fuzzy-own")
 
     @F.pandas_udf("double")
     def partial(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)])
 
-    scored = own.withColumn("score", F.round(F.greatest(F.col("ts"), 0.5 * F.col("ts") + 0.5 * partial("query", "entry")) / 100, 6))
-    return top(scored, limit, ["name"], [F.col("score").desc(), "service_id"]).select("name", "service_id", "score", "rank")
+    pairs = own.select("entry_of", "entry").distinct().withColumn("partial", partial("entry_of", "entry"))
+    scored = own.join(pairs, ["entry_of", "entry"]).withColumn("score", F.round(F.greatest(F.col("ts"), 0.5 * F.col("ts") + 0.5 * F.col("partial")) / 100, 6))
+    best = top(scored, limit, ["entry_of"], [F.col("score").desc(), "service_id"])
+    return queries.join(best, "entry_of").select("name", "service_id", "score", "rank")
 
 
 def vector_top(queries: DataFrame, catalog: DataFrame, k: int = VECTORS) -> DataFrame:
@@ -76,22 +73,7 @@ def vector_top(queries: DataFrame, catalog: DataFrame, k: int = VECTORS) -> Data
 
     A query isn't its own neighbour; null, empty and zero vectors take no part.
     """
-    ok = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
-
-    def score(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(c) and len(q):
-            cm, qm = (np.stack([np.asarray(v, float) for v in x["embedding"]]) for x in (c, q))
-            cm, qm = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (cm, qm))
-            ids = c["id"].to_numpy()
-            for name, row in zip(q["id"], qm @ cm.T):
-                some = np.flatnonzero(ids != name)
-                some = some[np.lexsort((ids[some], -row[some]))][:k]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[some], "score": np.maximum(row[some], 0)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    found = best_in_blocks(queries.filter(ok).select("id", "embedding"), catalog.filter(ok).select("id", "embedding"), score, "query_id long, id long, score double")
-    return top(found, k, ["query_id"], [F.col("score").desc(), "id"])
+    return nearest(queries, catalog, k)
 
 
 def merge_candidates(lexical: DataFrame, semantic: DataFrame, pool: int = POOL) -> DataFrame:
@@ -120,17 +102,9 @@ def apply_match(rows: DataFrame) -> DataFrame:
     ).drop("service", "score", "method")
 
 
-def cascade(items: DataFrame, services: DataFrame, semantic: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
-    """Runs all levels on items (item_id, name, code): item_id, service_id, score, method, arbiter, candidates.
-
-    A cheaper level's match ends an item; only distinct names of what is left reach the fuzzy
-    level. semantic (name, service_id, score) and verdicts (name, service_id or null, confidence) are
-    tables of a provider's answers; without them these levels are skipped.
-    """
-    index = lexical_index(services)
-    hits = code_hits(items, services)
+def code_level(hits: DataFrame, services: DataFrame) -> DataFrame:
+    """item_id, service_id, score, method of hits (code_hits with item_id and name) whose code some services have: of several, the most similar of their names."""
     by_code = hits.filter("hits = 1").select("item_id", "service_id", "score", F.lit("code").alias("method"))
-    # a code of several services: the most similar of their names, and nothing but those
     several = hits.filter("hits > 1").withColumn("key", text.normalize_code(F.col("code"))).withColumn("entry", text.normalize(F.col("name")))
     coded = services.filter("is_active").select(F.col("service_id").alias("sid"), text.normalize_code(F.col("icd_code")).alias("key"), text.normalize(F.col("service_name")).alias("other"))
 
@@ -141,30 +115,51 @@ def cascade(items: DataFrame, services: DataFrame, semantic: DataFrame | None =
     rated = several.select("entry", "key").distinct().join(coded, "key").withColumn("sim", alike("entry", "other"))
     winner = rated.groupBy("entry", "key").agg(F.max_by(F.struct("sid", "sim"), F.struct("sim", -F.col("sid"))).alias("w"))
     by_several = several.join(winner, ["entry", "key"]).select("item_id", F.col("w.sid").alias("service_id"), F.greatest(F.lit(CODE_LEAST), F.col("w.sim")).alias("score"), F.lit("code").alias("method"))
-    rest = hits.filter("hits = 0").select("item_id", "name")
-    exact = exact_match(rest, index)
+    return by_code.unionByName(by_several)
+
+
+def pooled(names: DataFrame, services: DataFrame, semantic: DataFrame | None = None, reranked: DataFrame | None = None) -> DataFrame:
+    """Candidates of distinct names (name): item_id (the name), service_id, score, method, rank (from 0), lexical (the best fuzzy score).
+
+    A name that the fuzzy level settles keeps its fuzzy candidates alone; else semantic neighbours are merged in, and reranked where the provider answered both.
+    """
+    found = stored(fuzzy_top(names, lexical_index(services)).select(F.col("name").alias("item_id"), "service_id", "score", F.lit("fuzzy").alias("method"), "rank"), "cascade-fuzzy")
+    best = found.filter("rank = 0").select("item_id", F.col("score").alias("lexical"))
+    pool = found
+    if semantic is not None:
+        settled = best.filter(F.col("lexical") >= FUZZY_AUTO).select("item_id")
+        near = semantic.select(F.col("name").alias("item_id"), "service_id", "score", F.lit("embedding").alias("method"))
+        near = near.join(names.select(F.col("name").alias("item_id")).distinct(), "item_id", "left_semi").join(settled, "item_id", "left_anti")
+        pool = stored(merge_candidates(found.drop("rank"), near), "cascade-pool")
+        if reranked is not None:
+            answers = reranked.withColumnRenamed("name", "item_id").join(near.select("item_id").distinct(), "item_id", "left_semi")
+            pool = rerank(pool, answers)
+    return pool.join(best, "item_id", "left")
+
+
+def cascade(items: DataFrame, services: DataFrame, semantic: DataFrame | None = None, verdicts: DataFrame | None = None, reranked: DataFrame | None = None) -> DataFrame:
+    """Runs all levels on items (item_id, name, code): item_id, service_id, score, method, arbiter, candidates.
+
+    A cheaper level's match ends an item; only distinct names of what is left reach the fuzzy
+    level. semantic and reranked (name, service_id, score) and verdicts (name, choice, confidence: as for arbitrate) are
+    tables of providers' answers; without them these levels are skipped.
+    """
+    hits = stored(code_hits(items, services), "cascade-codes")
+    by_code = code_level(hits, services)
+    exact = stored(exact_match(hits.filter("hits = 0").select("item_id", "name"), lexical_index(services)), "cascade-exact")
     by_name = exact.filter("service_id is not null").select("item_id", "service_id", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
     rest = exact.filter("service_id is null").select("item_id", "name")
-    found = fuzzy_top(rest, index).withColumn("method", F.lit("fuzzy")).withColumnRenamed("name", "item_id")
-    best = found.filter("rank = 0").select("item_id", F.col("score").alias("lexical"))
-    pool = merge_candidates(found.drop("rank"), (found.limit(0) if semantic is None else semantic).select(F.col("item_id" if semantic is None else "name").alias("item_id"), "service_id", "score", F.lit("embedding").alias("method")))
-    first = pool.filter("rank = 0").drop("rank").join(pool.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")), "item_id").join(best, "item_id", "left")
-    decided = first.withColumn("gate", F.when(F.col("lexical") >= FUZZY_AUTO, "auto").otherwise(gate(F.col("score"), F.lit(""))))
-    if verdicts is not None:
-        said = verdicts.select(F.col("name").alias("item_id"), F.col("service_id").alias("said_id"), "confidence", F.when(F.col("service_id").isNull(), "no").otherwise("yes").alias("arbiter"))
-        decided = decided.join(said, "item_id", "left")
-    else:
-        decided = decided.withColumns({"said_id": F.lit(None).cast("long"), "confidence": F.lit(None).cast("double"), "arbiter": F.lit(None).cast("string")})
-    yes = (F.col("gate") == "arbiter") & (F.col("arbiter") == "yes")
-    by_rest = rest.join(decided.withColumnRenamed("item_id", "name"), "name", "left").select(
-        "item_id",
-        F.when(F.col("gate") == "auto", F.col("service_id")).when(yes, F.col("said_id")).alias("service_id"),
-        F.when(yes, F.greatest("score", "confidence")).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
-        F.when(F.col("gate") == "auto", F.col("method")).when(yes, F.lit("llm")).otherwise(F.lit("none")).alias("method"),
-        F.when(F.col("gate") == "arbiter", F.col("arbiter")).alias("arbiter"), F.coalesce("candidates", F.lit(0)).alias("candidates"),
-    )
-    sure = by_code.unionByName(by_several).unionByName(by_name).withColumns({"arbiter": F.lit(None).cast("string"), "candidates": F.lit(1).cast("long")})
-    return sure.unionByName(by_rest)
+    pool = stored(pooled(rest, services, semantic, reranked), "cascade-candidates")
+    judged = arbitrate(pool, nothing(items.sparkSession, VERDICT) if verdicts is None else verdicts.withColumnRenamed("name", "item_id"))
+    first = pool.filter("rank = 0").join(pool.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")), "item_id")
+    sure = (F.col("lexical") >= FUZZY_AUTO) | (F.col("score") >= HIGH)
+    auto = first.filter(sure).select("item_id", "service_id", "score", "method", F.lit(None).cast("string").alias("arbiter"), "candidates")
+    asked = first.filter(~sure & (F.col("score") >= LOW)).select("item_id", "candidates").join(judged, "item_id")
+    low = first.filter(~sure & (F.col("score") < LOW)).select("item_id", F.lit(None).cast("long").alias("service_id"), "score", F.lit("none").alias("method"), F.lit(None).cast("string").alias("arbiter"), "candidates")
+    decided = auto.unionByName(asked.select(auto.columns)).unionByName(low).withColumnRenamed("item_id", "name")
+    by_rest = rest.join(decided, "name", "left").select("item_id", "service_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("method", F.lit("none")).alias("method"), "arbiter", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    known = by_code.unionByName(by_name).withColumns({"arbiter": F.lit(None).cast("string"), "candidates": F.lit(1).cast("long")})
+    return known.unionByName(by_rest)
 
 
 def manual_match(items: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions.money import JUMP, pct_change, price_of
+from lumenprice.sources.stored import stored
+
+
+#: Folders of a table of versions, by key.
+BUCKETS = 64
+STATE = ("is_active", "supersedes", "is_anomaly")
+
+
+def _price(items: DataFrame) -> Column:
+    return price_of(F.col("price_resident"), F.col("price_nonresident"), F.col("price_original") if "price_original" in items.columns else F.lit(None))
 
 
 def versions(items: DataFrame, jump: float = JUMP) -> DataFrame:
-    """items (item_id, partner_id, service_id, prices, effective_date, seq) as if taken in one by one in the order of seq.
+    """items (item_id, partner_id, service_id, prices (price_original counts where it is there), effective_date, seq) as if taken in one by one in the order of seq.
 
     A row replaces the key's active row if its date is not older or either date is unknown; else it is archived
     itself and points to the newer one. Adds is_current, supersedes, change, newer, and is_jump (the
@@ -19,7 +30,7 @@ def versions(items: DataFrame, jump: float = JUMP) -> DataFrame:
     row is the running maximum of (date, seq), and the row before is the lag of it.
     """
     key = Window.partitionBy("partner_id", "service_id").orderBy("seq")
-    known = items.filter("service_id is not null").withColumn("_p", price_of(F.col("price_resident"), F.col("price_nonresident"), F.lit(None)))
+    known = items.filter("service_id is not null").withColumn("_p", _price(items))
     known = known.withColumn("_s", F.sum(F.when(F.col("effective_date").isNull(), 1).otherwise(0)).over(key.rowsBetween(Window.unboundedPreceding, 0)))
     stretch = Window.partitionBy("partner_id", "service_id", "_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     known = known.withColumn("_run", F.max(F.struct("effective_date", "seq", "item_id", "_p")).over(stretch))
@@ -33,3 +44,83 @@ def versions(items: DataFrame, jump: float = JUMP) -> DataFrame:
     hit = known.filter("_target is not null").select(F.col("_target").alias("item_id"), F.lit(True).alias("is_jump")).distinct()
     known = known.drop("_p", "_s", "_run", "_prev", "_target").join(hit, "item_id", "left").withColumn("is_jump", F.coalesce("is_jump", F.lit(False)))
     return known
+
+
+def merged(active: DataFrame, batch: DataFrame, jump: float = JUMP) -> DataFrame:
+    """The rows of batch and the active rows of their keys, as they are after batch was taken in one by one in the order of seq.
+
+    batch: item_id, partner_id, service_id, prices, effective_date, seq; active: the same with is_active, supersedes, is_anomaly, of
+    which only active rows count. What comes later in seq than all that was taken in before gives the same table in any split
+    into batches. Rows without a service stay as they are. A key with one active row is settled by versions(), with that row in front; one with
+    several (services can be set by hand) by a fold of the key, as each row replaces only the latest of them.
+    """
+    key = ["partner_id", "service_id"]
+    known = batch.filter("service_id is not null")
+    seeds = active.filter("is_active and service_id is not null").join(known.select(*key).distinct(), key, "left_semi")
+    columns = batch.columns
+    fresh = {"_old": F.lit(False), "is_active": F.lit(True), "_supersedes": F.lit(None).cast(active.schema["supersedes"].dataType), "_flag": F.lit(False)}
+    own = seeds.select(*columns, F.lit(True).alias("_old"), "is_active", F.col("supersedes").alias("_supersedes"), F.coalesce("is_anomaly", F.lit(False)).alias("_flag"))
+    rows = stored(known.withColumns(fresh).select(own.columns).unionByName(own), "version-rows")
+    many = rows.filter("_old").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    placed = rows.withColumn("_seq", F.col("seq")).withColumn("seq", F.struct(F.when(F.col("_old"), 0).otherwise(1).alias("new"), F.col("_seq").alias("seq")))
+    one = versions(placed.join(many, key, "left_anti"), jump)
+    settled = one.withColumns({"seq": F.col("_seq"), "is_active": F.col("is_current"), "supersedes": F.when(F.col("_old"), F.col("_supersedes")).otherwise(F.col("supersedes")), "is_anomaly": F.col("_flag") | F.col("is_jump")})
+
+    several = rows.join(many, key, "left_semi").withColumns({"_p": _price(batch), "_n": F.row_number().over(Window.partitionBy(*key).orderBy(F.col("_old").desc(), "seq"))})
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(**_folded(frame.sort_values("_n"), jump))[["item_id", "_n", "is_active", "_supersedes", "_flag"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in several.schema}
+    told = several.select(*key, "item_id", "_n", "_old", "is_active", "_supersedes", "_flag", "effective_date", "_p").groupBy(*key).applyInPandas(
+        lambda frame: fold(frame).assign(partner_id=frame["partner_id"].iloc[0], service_id=frame["service_id"].iloc[0]),
+        ", ".join(f"{c} {kinds[c]}" for c in ("item_id", "_n", "is_active", "_supersedes", "_flag", *key)),
+    )
+    folded = several.drop("is_active", "_supersedes", "_flag").join(told.drop("item_id"), [*key, "_n"]).withColumns({"supersedes": F.col("_supersedes"), "is_anomaly": F.col("_flag")})
+    alone = batch.filter("service_id is null").withColumns({"is_active": F.lit(True), "supersedes": fresh["_supersedes"], "is_anomaly": F.lit(False)})
+    out = [*columns, *STATE]
+    return settled.select(*out).unionByName(folded.select(*out)).unionByName(alone.select(*out))
+
+
+def _folded(frame: pd.DataFrame, jump: float) -> dict[str, pd.Series]:
+    """is_active, _supersedes, _flag of one key's rows, of which the first (_old) were there before."""
+    live, supersedes, flags = [], frame["_supersedes"].copy().astype(object), frame["_flag"].copy()
+    for at, row in frame.iterrows():
+        when = None if pd.isna(row["effective_date"]) else row["effective_date"]
+        if row["_old"] or not live:
+            live.append((when, at))
+            continue
+        dated = [x for x in live if x[0] is not None]
+        before = max(dated, key=lambda x: x[0]) if dated else live[0]
+        newer = when is None or before[0] is None or when >= before[0]
+        old, new = (frame["_p"][before[1]], row["_p"]) if newer else (row["_p"], frame["_p"][before[1]])
+        supersedes[at] = frame["item_id"][before[1]]
+        if not pd.isna(old) and not pd.isna(new) and old != 0 and float(abs(new - old)) / float(old) > jump:
+            flags[at if newer else before[1]] = True
+        if newer:
+            live.remove(before)
+            live.append((when, at))
+    kept = {at for _, at in live}
+    return {"is_active": pd.Series([at in kept for at in frame.index], frame.index), "_supersedes": supersedes, "_flag": flags}
+
+
+def merge_into(spark: SparkSession, path: str, batch: DataFrame, jump: float = JUMP) -> None:
+    """Takes batch into the table of versions at path (made if there is none): only the folders of its keys are read and written.
+
+    The new rows of those folders are stored aside before any folder is replaced.
+    """
+    bucket = F.pmod(F.xxhash64("partner_id", "service_id"), F.lit(BUCKETS)).cast("int")
+    own = stored(batch, "version-batch")
+    touched = [r["bucket"] for r in own.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+    shape = own.withColumns({"is_active": F.lit(True), "supersedes": F.lit(None).cast(own.schema["item_id"].dataType), "is_anomaly": F.lit(False), "bucket": F.lit(0)}).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    table = spark.read.schema(shape).parquet(path).filter(F.col("bucket").isin(touched)) if there else spark.createDataFrame([], shape)
+    changed = stored(merged(table, own, jump), "version-changed")
+    rest = table.drop("bucket").join(changed.select("item_id"), "item_id", "left_anti")
+    rows = stored(rest.unionByName(changed).withColumn("bucket", bucket), "version-folders")
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def table_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")

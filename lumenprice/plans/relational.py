@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenprice.functions import text
-from lumenprice.operators import catalog, readmodel, resolve, search, versioning
+from lumenprice.operators import catalog, readmodel, resolve, versioning
 from lumenprice.plans import domain, inline
 from lumenprice.plans.registry import query
+from lumenprice.sources.stored import shared_dir
 
 W = "WITH " + domain.SQL
 RATE = "round(CASE WHEN {1} = 0 THEN 0.0 ELSE CAST({0} AS DOUBLE) / {1} END, 4)"
@@ -157,11 +160,6 @@ def search_simple(spark: SparkSession, d: str) -> DataFrame:
     return readmodel.search_simple(domain.services(spark, d), domain.partners(spark, d), "red").withColumn("rank", F.col("rank").cast("decimal(2,1)"))
 
 
-@query()
-def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_stemmed(domain.services(spark, d), domain.partners(spark, d), "red")
-
-
 #: Versions by recursion over each key's rows in order: the active row, and what each row did.
 VERSIONS = f"""{W}, s AS (SELECT *, coalesce(price_resident, price_nonresident) AS p, row_number() OVER (PARTITION BY partner_id, service_id ORDER BY doc_id, line, item_id) AS k FROM items WHERE service_id IS NOT NULL),
   g AS (SELECT *, sum(CASE WHEN effective_date IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY partner_id, service_id ORDER BY k) AS st FROM s),
@@ -188,6 +186,19 @@ def version_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).filter("is_jump").select("item_id")
 
 
+@query(f"""{VERSIONS}, j AS (SELECT DISTINCT CASE WHEN newer THEN item_id ELSE supersedes END AS item_id FROM v WHERE change > 0.5)
+  SELECT item_id, supersedes, is_current AS is_active, item_id IN (SELECT item_id FROM j) AS is_anomaly FROM v
+  UNION ALL SELECT item_id, NULL, TRUE, FALSE FROM items WHERE service_id IS NULL""")
+def version_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The table of versions after the documents came in three batches."""
+    items = domain.items(spark, d).select("item_id", "partner_id", "service_id", "price_resident", "price_nonresident", "effective_date", F.struct("doc_id", "line", "item_id").alias("seq"))
+    last, path = items.agg(F.max("seq.doc_id")).first()[0] or 0, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    for i in range(3):
+        part = (F.col("seq.doc_id") > last * i // 3) if i else F.lit(True)
+        versioning.merge_into(spark, path, items.filter(part & (F.col("seq.doc_id") <= last * (i + 1) // 3)))
+    return versioning.table_of(spark, path).select("item_id", "supersedes", "is_active", "is_anomaly")
+
+
 @query(f"{VERSIONS} SELECT partner_id, service_id, item_id, effective_date FROM v WHERE is_current")
 def version_active(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).filter("is_current").select("partner_id", "service_id", "item_id", "effective_date")
@@ -368,19 +379,3 @@ def score_bands(spark: SparkSession, d: str) -> DataFrame:
 def arbiter_pending(spark: SparkSession, d: str) -> DataFrame:
     keyed = domain.services(spark, d).withColumn("cache_key", text.cache_key("llm", "m", F.col("service_name"), F.array("category", "icd_code")))
     return resolve.arbiter_pending(keyed, keyed.filter("service_id % 3 = 0").select("cache_key"))
-
-
-@query()
-def fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = domain.services(spark, d)
-    return resolve.fuzzy_top(rows.select(F.substring("service_name", 1, 12).alias("name")), resolve.lexical_index(rows))
-
-
-@query()
-def cascade_full(spark: SparkSession, d: str) -> DataFrame:
-    services = domain.services(spark, d)
-    names = services.select(F.col("service_id").alias("part_id"), "service_name", "icd_code")
-    items = domain.items(spark, d).select("item_id", "part_id", "line").join(names, "part_id")
-    coded = F.when(F.col("line") % 3 == 0, F.col("icd_code"))
-    short = F.when(F.col("line") % 2 == 0, F.substring("service_name", 1, 14)).otherwise(F.col("service_name"))
-    return resolve.cascade(items.select("item_id", short.alias("name"), coded.alias("code")), services)
