@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions import money
-from lumenprice.operators import resolve, tables, versioning
+from lumenprice.operators import resolve, sheets, tables, versioning
+from lumenprice.sources.files import kept
+from lumenprice.sources.stored import stored
 
 
 def grid(cells: DataFrame, header_rows: int = 25, least: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def versioned(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     matched = resolve.apply_match(rows.join(outcomes.withColumnRenamed("service_id", "service"), "item_id", "left").withColumn("was_verified", F.lit(False)))
     matched = matched.withColumns({"needs_review": F.coalesce("needs_review", F.lit(False)), "seq": F.struct("doc_id", "page", "row", "part")})
-    chain = versioning.versions(matched.select("item_id", "partner_id", "service_id", "price_resident", "price_nonresident", "effective_date", "seq"))
+    chain = versioning.versions(matched.select("item_id", "partner_id", "service_id", "price_resident", "price_nonresident", "price_original", "effective_date", "seq"))
     chain = chain.select("item_id", "is_current", "supersedes", "change", "is_jump", (F.col("newer") & (F.coalesce("change", F.lit(0.0)) > money.JUMP)).alias("own"))
     found = matched.join(chain, "item_id", "left").fillna({"is_current": True, "is_jump": False, "own": False})
     return found.withColumn("needs_review", F.col("needs_review") | F.col("own")).drop("own", "seq")
@@ -63,13 +65,60 @@ def statuses(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return found.withColumn("parse_status", money.document_status(F.col("items"), F.col("review")))
 
 
+def extracted(cells: DataFrame, kind: str) -> DataFrame:
+    """The items (doc_id, page, row, name, code, category, prices) of cells by the rules of their format: xlsx, docx, or grids of pdf or scan pages."""
+    if kind == "xlsx":
+        return sheets.workbook_items(cells)
+    if kind == "docx":
+        return sheets.document_items(cells)
+    below, header = grid(stored(cells, "process-cells"))
+    return tables.items(below, stored(tables.table_roles(below, header, kind), "process-roles"), kind)
+
+
+def isolated(cells: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """extracted() of the documents that it can read, and the failures (doc_id, step, message) of the others.
+
+    Rows of Spark don't fail one by one, so documents are tested by what breaks a step: a cell without a place, a negative one, or two values in one place. Such a
+    document gives no items and one failure for each reason; all others come through.
+    """
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("page").isNull() | F.col("row").isNull() | F.col("column").isNull(), "a cell without a place"),
+            F.when((F.col("row") < 0) | (F.col("column") < 0), "a cell at a negative place"),
+        )
+    )
+    odd = cells.select("doc_id", F.explode(reasons).alias("message"))
+    twice = cells.groupBy("doc_id", "page", "row", "column").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit("two values in one cell").alias("message"))
+    failures = odd.unionByName(twice).distinct().select("doc_id", F.lit("cells").alias("step"), "message")
+    failures = stored(failures, "process-failures")
+    sound = cells.join(failures.select("doc_id").distinct(), "doc_id", "left_anti")
+    return extracted(sound, kind), failures
+
+
+def logs(docs: DataFrame, failures: DataFrame, refused: DataFrame, taken: DataFrame) -> DataFrame:
+    """doc_id, log: what went wrong with each document and how many items it gave, as much as the contract keeps of a log.
+
+    failures (doc_id, step, message), refused (doc_id, messages) and taken (doc_id, a row an item) of the run.
+    """
+    failed = failures.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat_ws(": ", "step", "message"))).alias("failed"))
+    left_out = refused.groupBy("doc_id").agg(F.count(F.lit(1)).alias("refused"))
+    counted = taken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+    rows = docs.select("doc_id").join(failed, "doc_id", "left").join(left_out, "doc_id", "left").join(counted, "doc_id", "left").fillna(0, ["refused", "items"])
+    lines = F.concat(
+        F.coalesce("failed", F.array().cast("array<string>")),
+        F.when(F.col("items") == 0, F.array(F.lit("Документ без распознаваемых данных"))).otherwise(F.array(F.concat(F.lit("Извлечено "), "items", F.lit(" позиций")))),
+        F.when(F.col("refused") > 0, F.array(F.concat(F.lit("Пропущено пустых/битых строк: "), "refused"))).otherwise(F.array().cast("array<string>")),
+    )
+    return rows.select("doc_id", kept(F.array_join(lines, "\n"), "log").alias("log"))
+
+
 def process(cells: DataFrame, docs: DataFrame, services: DataFrame, kind: str = "xlsx") -> tuple[DataFrame, DataFrame]:
-    """Versioned prices of files' cells (doc_id, page, row, column, value), and their documents' statuses.
+    """Versioned prices of files' cells (doc_id, page, row, column, value), and their documents' statuses with their logs.
 
-    The prices and their matches are read several times, so both are checkpointed (spark.checkpoint.dir).
+    Prices and matches are read several times, so both are stored. A document that breaks a step is an error with that in its log, and takes no other with it.
     """
-    below, header = grid(cells.checkpoint())
-    taken, _ = prices(tables.items(below, tables.table_roles(below, header, kind).checkpoint(), kind), docs)
-    taken = taken.checkpoint()
-    rows = versioned(taken, resolve.cascade(taken.select("item_id", "name", "code"), services).checkpoint())
-    return rows, statuses(rows, docs)
+    found, failures = isolated(cells, kind)
+    taken, refused = prices(stored(found, "process-items"), docs)
+    taken = stored(taken, "process-prices")
+    rows = versioned(taken, stored(resolve.cascade(taken.select("item_id", "name", "code"), services), "process-matches"))
+    return rows, statuses(rows, docs).join(logs(docs, failures, refused, taken), "doc_id")

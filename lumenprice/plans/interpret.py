@@ -50,7 +50,7 @@ def workbook_columns(spark: SparkSession, d: str) -> DataFrame:
     return _captions(spark, "xlsx")
 
 
-@query(f"""WITH {_captions_sql(CAPTIONS.sql(), tables.NAME_HINTS, tables.CODE_HINTS, tables.PRICE_HINTS + tables.TARIFF_HINTS)},
+@query(f"""WITH {_captions_sql(CAPTIONS.sql(), *tables.HINTS['docx'])},
   l AS (SELECT *, NOT bool_or(p) OVER w AND "column" = max("column") OVER w AND "column" IS DISTINCT FROM a AND "column" IS DISTINCT FROM b AS l FROM h WINDOW w AS (PARTITION BY doc_id))
   SELECT doc_id, "column", CASE WHEN l AND label = '' THEN 'Стоимость' ELSE label END AS label, coalesce("column" = a, FALSE) AS is_name, coalesce("column" = b, FALSE) AS is_code, p OR l AS is_price FROM l""")
 def document_columns(spark: SparkSession, d: str) -> DataFrame:

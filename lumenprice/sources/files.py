@@ -116,18 +116,39 @@ def xlsx_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
 
 
 def docx_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
-    """(table from 0, row from 1, column from 0, value) of a document's tables, tracked changes accepted."""
+    """(table from 0, row from 1, column from 0, value) of a document's tables, tracked changes accepted.
+
+    A merged cell's text stands in every column and row that it spans (gridSpan, vMerge), so that what is behind it keeps its column.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
     for parent in list(root.iter()):
         for child in [c for c in parent if c.tag == WORD + "del"]:
             parent.remove(child)
+
+    def number(parent: ElementTree.Element | None, name: str, default: int) -> int:
+        found = None if parent is None else parent.find(WORD + name)
+        return default if found is None else int(found.get(WORD + "val", default))
+
     for i, found in enumerate(root.iter(WORD + "tbl")):
+        above: dict[int, str] = {}
         for j, row in enumerate(found.findall(WORD + "tr")):
-            for k, cell in enumerate(row.findall(WORD + "tc")):
-                text = " ".join("".join(t.text or "" for t in p.iter(WORD + "t")) for p in cell.iter(WORD + "p")).strip()
+            here: dict[int, str] = {}
+            k = number(row.find(WORD + "trPr"), "gridBefore", 0)
+            for cell in row.findall(WORD + "tc"):
+                style = cell.find(WORD + "tcPr")
+                span = max(1, number(style, "gridSpan", 1))
+                merge = None if style is None else style.find(WORD + "vMerge")
+                if merge is not None and merge.get(WORD + "val", "continue") != "restart":
+                    text = above.get(k, "")
+                else:
+                    text = " ".join("".join(t.text or "" for t in p.iter(WORD + "t")) for p in cell.iter(WORD + "p")).strip()
+                here.update(dict.fromkeys(range(k, k + span), text))
+                k += span
+            for column, text in here.items():
                 if text:
-                    yield i, j + 1, k, text
+                    yield i, j + 1, column, text
+            above = here
 
 
 #: Decoders of file contents to cells, by format; more can be registered.
