@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions import money
-from lumenprice.operators import resolve, sheets, tables, versioning
+from lumenprice.functions.text import text_quality
+from lumenprice.operators import geometry, resolve, sheets, tables, versioning
 from lumenprice.sources.files import kept
 from lumenprice.sources.stored import stored
 
+#: Letters of a text layer below which a page counts as having none.
+LEAST_TEXT = 20
+
 
 def grid(cells: DataFrame, header_rows: int = 25, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Cells (doc_id, page, row, column, value) of files as whole grids below each page's header, and the headers.
@@ -75,6 +79,56 @@ def extracted(cells: DataFrame, kind: str) -> DataFrame:
     return tables.items(below, stored(tables.table_roles(below, header, kind), "process-roles"), kind)
 
 
+def routed(layer: DataFrame, texts: DataFrame, recognised: DataFrame) -> DataFrame:
+    """The words of pages: a page whose text layer (texts: doc_id, page, text) is nearly empty or corrupt takes its recognised words, if it has any; the others their layer's."""
+    text = F.coalesce("text", F.lit(""))
+    poor = (F.length(F.trim(text)) < LEAST_TEXT) | text_quality(text)["is_corrupt"]
+    key = ["doc_id", "page"]
+    again = stored(texts.filter(poor).select(*key).join(recognised.select(*key).distinct(), key, "left_semi"), "process-recognised")
+    return layer.join(again, key, "left_anti").select(recognised.columns).unionByName(recognised.join(again, key, "left_semi"))
+
+
+def word_items(words: DataFrame, kind: str = "pdf") -> DataFrame:
+    """The items (doc_id, page, row, name, code, category, prices) of pages of words (doc_id, page, text, x0, x1, top, bottom); row is a line's number from 0.
+
+    Words become lines, the lines below a page's header give the streets between columns, and columns their roles by captions and contents;
+    names over several lines are put together before rows are read. kind is pdf or scan: categories go on across pages or end with theirs.
+    """
+    lined = stored(geometry.group_rows(words), "process-lines")
+    line_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+    lines = lined.groupBy("doc_id", "page", "line").agg(line_text.alias("text"), F.min("top").alias("top"))
+    low = F.lower("text")
+    hits = sum((F.contains(low, F.lit(a)).cast("int") for a in geometry.HEADER_ANCHORS), F.lit(0))
+    best = lines.filter(F.col("line") < geometry.HEADER_ROWS).groupBy("doc_id", "page").agg(F.max_by(F.struct("line", hits.alias("hits")), F.struct(hits, -F.col("line"))).alias("b"))
+    header = best.select("doc_id", "page", F.when(F.col("b.hits") >= geometry.LEAST_ANCHORS, F.col("b.line")).otherwise(-1).alias("header"))
+    own = stored(lined.join(header, ["doc_id", "page"], "left").fillna(-1, ["header"]), "process-words")
+    bounds = geometry.density_bounds(own.filter("line > header"))
+    cells = geometry.assign_cells(own.filter("line >= header").drop("header"), bounds)
+    columns = bounds.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    held = cells.groupBy("doc_id", "page", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("m")).join(columns, ["doc_id", "page"]).join(header, ["doc_id", "page"])
+    grid_ = held.select("doc_id", "page", F.col("line").alias("row"), "header", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("column"), "m")
+    grid_ = stored(grid_.withColumn("cell", F.coalesce(F.try_element_at("m", "column"), F.lit(""))).drop("m"), "process-grid")
+    below, captions = grid_.filter("row > header").drop("header"), grid_.filter("row = header").drop("header", "row")
+    roles = stored(tables.table_roles(below, captions, kind), "process-roles")
+    stitched = stitched_cells(below, roles, lines, geometry.line_gap(words))
+    return tables.items(stitched, roles, kind)
+
+
+def stitched_cells(below: DataFrame, roles: DataFrame, lines: DataFrame, gaps: DataFrame) -> DataFrame:
+    """below (doc_id, page, row, column, cell) with the names and codes that stitch_rows gives its rows, without the rows that went into others."""
+    key = ["doc_id", "page", "row"]
+    read = below.join(roles.select("doc_id", "page", "column", "is_name", "is_code", "is_price", "numbered"), ["doc_id", "page", "column"])
+    read = read.withColumn("priced", F.when(F.col("is_price") & money.parse_amount(F.col("cell")).isNotNull(), F.col("cell")))
+    rows = read.groupBy(*key).agg(
+        F.max(F.when(F.col("is_name"), F.col("cell"))).alias("name"), F.max(F.when(F.col("is_code"), F.col("cell"))).alias("code"),
+        F.max("priced").alias("price"), F.coalesce(F.bool_or("numbered"), F.lit(False)).alias("numbered"),
+    )
+    placed = rows.join(lines.select("doc_id", "page", F.col("line").alias("row"), "top"), key).join(gaps, ["doc_id", "page"]).withColumnRenamed("row", "line")
+    found = geometry.stitch_rows(placed, F.col("numbered")).withColumnRenamed("line", "row").select(*key, F.col("name").alias("_name"), F.col("code").alias("_code"))
+    cell = F.when(F.col("is_name"), F.col("_name")).when(F.col("is_code"), F.col("_code")).otherwise(F.col("cell"))
+    return read.join(found, key).select(*key, "column", cell.alias("cell"))
+
+
 def isolated(cells: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """extracted() of the documents that it can read, and the failures (doc_id, step, message) of the others.
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lumenprice.plans import interpret, matching, registry, relational, scalar, searching, sheets  # noqa: F401
+from lumenprice.plans import interpret, matching, pages, registry, relational, scalar, searching, sheets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
