@@ -14,11 +14,11 @@ from lumenprice.sources import files
 CAPTIONS = inline.Rows("doc_id long, column int, cell string", [(i, j, c) for i, row in enumerate((
     ("№", "Код", "Наименование услуги", "Цена для граждан РК", "Цена СНГ"), ("Услуга", "Название", "Шифр", "Стоимость"), ("№ п/п", "Код услуги", "Вид помощи", "Тариф"),
     ("Код наименования", "Наименование", "", None), ("Исследование", "Срок", "Сумма"), ("a", "b", "c"), ("Код", "Шифр услуги", "нерезидент", "Примечание к услуге"), ("", ""),
-)) for j, c in enumerate(row)])
+)) for j, c in enumerate(row)], group="doc_id", vary=inline.DOC | {"cell": inline.worded("cell")})
 LINES = inline.Rows("id long, name string, c1 string, c2 string", [
     (1, "Итого", "Итого", "5000"), (2, "Раздел 1. Анализы  крови.", "Раздел 1. Анализы  крови.", "Раздел 1. Анализы  крови."), (3, "1 2 3", "1", "2"), (4, "Всегомед", "x", ""), (5, "Сумма прописью", "", ""),
     (6, "Прием", "B1", "100"), (7, "", "", ""), (8, None, None, None), (9, "раздел 2.", "раздел 2.", ""), (10, "Subtotal", "a", "b"), (11, "Анализ итоговый", "a", "b"), (12, "ПОДЫТОГ: 3", "", "ПОДЫТОГ: 3"),
-])
+], vary=inline.ID | {"name": inline.worded("name")})
 
 
 def _any(words: tuple[str, ...], column: str = "low") -> str:
@@ -32,43 +32,43 @@ def _captions_sql(rows: str, first: tuple, second: tuple, price: tuple) -> str:
   h AS (SELECT *, {_any(price)} AND "column" IS DISTINCT FROM a AND "column" IS DISTINCT FROM b AS p FROM b)"""
 
 
-def _captions(spark: SparkSession, kind: str) -> DataFrame:
-    header = CAPTIONS.frame(spark).withColumn("page", F.lit(1))
+def _captions(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    header = CAPTIONS.over(spark, d).withColumn("page", F.lit(1))
     return tables.header_roles(header, kind).drop("page")
 
 
-@query(f"""WITH {_captions_sql(CAPTIONS.sql(), tables.NAME_HINTS, tables.CODE_HINTS, tables.PRICE_HINTS + tables.TARIFF_HINTS)}
+@query(f"""WITH {_captions_sql(CAPTIONS.over_sql(), tables.NAME_HINTS, tables.CODE_HINTS, tables.PRICE_HINTS + tables.TARIFF_HINTS)}
   SELECT doc_id, "column", label, coalesce("column" = a, FALSE) AS is_name, coalesce("column" = b, FALSE) AS is_code, p AS is_price FROM h""")
 def map_columns(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, "pdf")
+    return _captions(spark, d, "pdf")
 
 
-@query(f"""WITH {_captions_sql(CAPTIONS.sql(), tables.WORKBOOK_CODE_HINTS, tables.NAME_HINTS, tables.WORKBOOK_PRICE_HINTS)},
+@query(f"""WITH {_captions_sql(CAPTIONS.over_sql(), tables.WORKBOOK_CODE_HINTS, tables.NAME_HINTS, tables.WORKBOOK_PRICE_HINTS)},
   f AS (SELECT doc_id, "column" AS f, row_number() OVER (PARTITION BY doc_id ORDER BY length(label) DESC, "column") AS k FROM h WHERE label <> '' AND "column" IS DISTINCT FROM a AND NOT p)
   SELECT h.doc_id, "column", label, coalesce("column" = coalesce(b, f), FALSE) AS is_name, coalesce("column" = a, FALSE) AS is_code, p AS is_price FROM h LEFT JOIN f ON h.doc_id = f.doc_id AND k = 1""")
 def workbook_columns(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, "xlsx")
+    return _captions(spark, d, "xlsx")
 
 
-@query(f"""WITH {_captions_sql(CAPTIONS.sql(), *tables.HINTS['docx'])},
+@query(f"""WITH {_captions_sql(CAPTIONS.over_sql(), *tables.HINTS['docx'])},
   l AS (SELECT *, NOT bool_or(p) OVER w AND "column" = max("column") OVER w AND "column" IS DISTINCT FROM a AND "column" IS DISTINCT FROM b AS l FROM h WINDOW w AS (PARTITION BY doc_id))
   SELECT doc_id, "column", CASE WHEN l AND label = '' THEN 'Стоимость' ELSE label END AS label, coalesce("column" = a, FALSE) AS is_name, coalesce("column" = b, FALSE) AS is_code, p OR l AS is_price FROM l""")
 def document_columns(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, "docx")
+    return _captions(spark, d, "docx")
 
 
-@query(f"""WITH l AS (SELECT *, lower(name) AS low FROM {LINES.sql()}) SELECT id, {_any(tables.TOTALS['pdf'])} AS pdf, {_any(tables.TOTALS['xlsx'])} AS xlsx,
+@query(f"""WITH l AS (SELECT *, lower(name) AS low FROM {LINES.over_sql()}) SELECT id, {_any(tables.TOTALS['pdf'])} AS pdf, {_any(tables.TOTALS['xlsx'])} AS xlsx,
   {_any(("(^|[^\\p{L}\\p{N}_])(" + "|".join(tables.TOTALS['docx']) + ")($|[^\\p{L}\\p{N}_])",))} AS docx, coalesce(regexp_matches(name, '\\p{{L}}'), FALSE) AS lettered FROM l""")
 def row_filters(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("name")
-    return LINES.frame(spark).select("id", *[tables.is_total(name, kind).alias(kind) for kind in ("pdf", "xlsx", "docx")], tables.has_letters(name).alias("lettered"))
+    return LINES.over(spark, d).select("id", *[tables.is_total(name, kind).alias(kind) for kind in ("pdf", "xlsx", "docx")], tables.has_letters(name).alias("lettered"))
 
 
-@query(f"""WITH l AS (SELECT id, list_filter([name, c1, c2], lambda x: x IS NOT NULL AND x <> '') AS f FROM {LINES.sql()}),
+@query(f"""WITH l AS (SELECT id, list_filter([name, c1, c2], lambda x: x IS NOT NULL AND x <> '') AS f FROM {LINES.over_sql()}),
   s AS (SELECT id, f, trim(regexp_replace(regexp_replace(regexp_replace(f[1], '(?i)^\\s*раздел\\s*', ''), '^\\s*[0-9.]+\\s*', ''), '\\s+', ' ', 'g'), ' .') AS s FROM l)
   SELECT id, CASE WHEN len(list_distinct(f)) = 1 THEN coalesce(nullif(s, ''), trim(f[1])) END AS section FROM s""")
 def merged_section(spark: SparkSession, d: str) -> DataFrame:
-    return LINES.frame(spark).select("id", tables.merged_section(F.array("name", "c1", "c2")).alias("section"))
+    return LINES.over(spark, d).select("id", tables.merged_section(F.array("name", "c1", "c2")).alias("section"))
 
 
 #: A price list for each order: captions in odd ones, a section in the others, an item a line and a total in every third.

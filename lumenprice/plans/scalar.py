@@ -35,9 +35,9 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(inline.NAMES.frame(spark).select(F.lit(-1).cast("long").alias("doc_id"), text.normalize(F.col("raw")).alias("norm")))
 
 
-@query(f"SELECT raw, array_to_string(list_sort(list_distinct(list_filter(string_split({_normalize_sql('raw')}, ' '), lambda w: w <> ''))), ' ') AS tokens FROM {inline.NAMES.sql()}")
+@query(f"SELECT raw, array_to_string(list_sort(list_distinct(list_filter(string_split({_normalize_sql('raw')}, ' '), lambda w: w <> ''))), ' ') AS tokens FROM {inline.NAMES.over_sql()}")
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return inline.NAMES.frame(spark).select("raw", F.array_join(text.tokens(F.col("raw")), " ").alias("tokens"))
+    return inline.NAMES.over(spark, d).select("raw", F.array_join(text.tokens(F.col("raw")), " ").alias("tokens"))
 
 
 def _name_sql(column: str) -> str:
@@ -81,9 +81,9 @@ def _kind_sql(column: str) -> str:
     return f"CASE WHEN {has(money.NONRESIDENT)} THEN 'nonresident' WHEN {has(money.INSURANCE)} THEN 'insurance' WHEN {has(money.RESIDENT)} THEN 'resident' ELSE 'other' END"
 
 
-@query(f"SELECT label, {_kind_sql('label')} AS kind FROM {inline.LABELS.sql()}")
+@query(f"SELECT label, {_kind_sql('label')} AS kind FROM {inline.LABELS.over_sql()}")
 def classify_label(spark: SparkSession, d: str) -> DataFrame:
-    return inline.LABELS.frame(spark).select("label", money.classify_label(F.col("label")).alias("kind"))
+    return inline.LABELS.over(spark, d).select("label", money.classify_label(F.col("label")).alias("kind"))
 
 
 def _tariffs_sql(rows: str, key: str) -> str:
@@ -93,26 +93,26 @@ def _tariffs_sql(rows: str, key: str) -> str:
   SELECT {key}, resident, coalesce(nonres, CASE WHEN n > 1 THEN rest END) AS nonresident, raw_label FROM (SELECT DISTINCT {key} FROM p) LEFT JOIN f USING ({key}) LEFT JOIN r USING ({key})"""
 
 
-def _prices(spark: SparkSession) -> DataFrame:
-    rows = inline.PRICES.frame(spark).withColumn("amount", money.parse_amount(F.col("raw")))
+def _prices(spark: SparkSession, d: str) -> DataFrame:
+    rows = inline.PRICES.over(spark, d).withColumn("amount", money.parse_amount(F.col("raw")))
     lists = rows.groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "amount"))).alias("p"))
     return lists.select("id", "name", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["amount"].alias("amount"))).alias("prices"))
 
 
-@query(_tariffs_sql(inline.PRICES.sql(), "id, name"))
+@query(_tariffs_sql(inline.PRICES.over_sql(), "id, name"))
 def apply_tariffs(spark: SparkSession, d: str) -> DataFrame:
     t = money.apply_tariffs(F.col("prices"))
-    return _prices(spark).withColumn("t", t).select("id", "name", "t.resident", "t.nonresident", "t.raw_label")
+    return _prices(spark, d).withColumn("t", t).select("id", "name", "t.resident", "t.nonresident", "t.raw_label")
 
 
-EXPANDED = f"""(SELECT e.id, CASE WHEN both_ THEN CASE WHEN contains(lower(label), 'первичн') THEN name || ' (первичный приём)' ELSE name || ' (повторный приём)' END ELSE name END AS name, pos, label, raw FROM {inline.PRICES.sql()} e
-  JOIN (SELECT id, bool_or(contains(lower(label), 'первичн')) AND bool_or(contains(lower(label), 'повторн')) AS both_ FROM {inline.PRICES.sql()} GROUP BY id) b ON e.id = b.id
+EXPANDED = f"""(SELECT e.id, CASE WHEN both_ THEN CASE WHEN contains(lower(label), 'первичн') THEN name || ' (первичный приём)' ELSE name || ' (повторный приём)' END ELSE name END AS name, pos, label, raw FROM {inline.PRICES.over_sql()} e
+  JOIN (SELECT id, bool_or(contains(lower(label), 'первичн')) AND bool_or(contains(lower(label), 'повторн')) AS both_ FROM {inline.PRICES.over_sql()} GROUP BY id) b ON e.id = b.id
   WHERE NOT both_ OR contains(lower(label), 'первичн') OR contains(lower(label), 'повторн'))"""
 
 
 @query(_tariffs_sql(EXPANDED, "id, name"))
 def expand_primary_repeat(spark: SparkSession, d: str) -> DataFrame:
-    rows = _prices(spark).select("id", F.explode(money.expand_primary_repeat(F.col("name"), F.col("prices"))).alias("r"))
+    rows = _prices(spark, d).select("id", F.explode(money.expand_primary_repeat(F.col("name"), F.col("prices"))).alias("r"))
     return rows.withColumn("t", money.apply_tariffs(F.col("r.prices"))).select("id", "r.name", "t.resident", "t.nonresident", "t.raw_label")
 
 
@@ -132,43 +132,43 @@ def text_quality(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.col("q.char_count").cast("long").alias("char_count"), F.round("q.cyrillic_ratio", 6).alias("cyrillic_ratio"), F.round("q.contamination", 6).alias("contamination"), "q.anchor_hits", "q.is_corrupt")
 
 
-@query(f"""SELECT name, CASE WHEN f <> '' THEN upper(substr(f, 1, 1)) || lower(substr(f, 2)) ELSE regexp_replace(name, '(.)\\.[^.]*$', '\\1') END AS partner FROM (SELECT name, regexp_extract(name, '(?i)(клиника\\s*\\d+)', 1) AS f FROM {inline.FILES.sql()})""")
+@query(f"""SELECT name, CASE WHEN f <> '' THEN upper(substr(f, 1, 1)) || lower(substr(f, 2)) ELSE regexp_replace(name, '(.)\\.[^.]*$', '\\1') END AS partner FROM (SELECT name, regexp_extract(name, '(?i)(клиника\\s*\\d+)', 1) AS f FROM {inline.FILES.over_sql()})""")
 def partner_from_filename(spark: SparkSession, d: str) -> DataFrame:
-    return inline.FILES.frame(spark).select("name", text.partner_from_filename(F.col("name")).alias("partner"))
+    return inline.FILES.over(spark, d).select("name", text.partner_from_filename(F.col("name")).alias("partner"))
 
 
 @query(f"""SELECT name, coalesce(TRY_CAST(CASE WHEN f <> '' THEN regexp_extract(f, '(20\\d\\d)$', 1) || '-' || lpad(regexp_extract(f, '^\\d+[.\\-_](\\d+)', 1), 2, '0') || '-' || lpad(regexp_extract(f, '^(\\d+)', 1), 2, '0') END AS DATE),
   TRY_CAST(coalesce(nullif(regexp_extract(name, '20\\d\\d'), ''), nullif(regexp_extract(substr(body, 1, 2000), '20\\d\\d'), '')) || '-01-01' AS DATE)) AS effective_date
-  FROM (SELECT *, regexp_extract(name, '\\d{{1,2}}[.\\-_]\\d{{1,2}}[.\\-_]20\\d\\d') AS f FROM {inline.FILES.sql()})""")
+  FROM (SELECT *, regexp_extract(name, '\\d{{1,2}}[.\\-_]\\d{{1,2}}[.\\-_]20\\d\\d') AS f FROM {inline.FILES.over_sql()})""")
 def effective_date(spark: SparkSession, d: str) -> DataFrame:
-    return inline.FILES.frame(spark).select("name", files.effective_date(F.col("name"), F.col("body")).alias("effective_date"))
+    return inline.FILES.over(spark, d).select("name", files.effective_date(F.col("name"), F.col("body")).alias("effective_date"))
 
 
 @query(f"""SELECT name, CASE WHEN e = 'pdf' OR head = '25504446' THEN 'pdf' WHEN e IN ('docx', 'xlsx', 'xls') THEN e WHEN head = '504B0304' THEN 'xlsx' WHEN head = 'D0CF11E0' THEN 'xls' END AS file_format
-  FROM (SELECT *, lower(regexp_extract(name, '\\.([^./]*)$', 1)) AS e FROM {inline.FILES.sql()})""")
+  FROM (SELECT *, lower(regexp_extract(name, '\\.([^./]*)$', 1)) AS e FROM {inline.FILES.over_sql()})""")
 def detect_format(spark: SparkSession, d: str) -> DataFrame:
-    return inline.FILES.frame(spark).select("name", files.detect_format(F.col("name"), files.magic(F.unhex("head"))).alias("file_format"))
+    return inline.FILES.over(spark, d).select("name", files.detect_format(F.col("name"), files.magic(F.unhex("head"))).alias("file_format"))
 
 
-@query(f"SELECT amount, currency, CASE WHEN currency = 'USD' THEN CAST(round_even(amount * 475.0, 2) AS DECIMAL(14,2)) ELSE amount END AS kzt FROM {inline.FX.sql()}")
+@query(f"SELECT amount, currency, CASE WHEN currency = 'USD' THEN CAST(round_even(amount * 475.0, 2) AS DECIMAL(14,2)) ELSE amount END AS kzt FROM {inline.FX.over_sql()}")
 def fx_convert(spark: SparkSession, d: str) -> DataFrame:
-    return inline.FX.frame(spark).select("amount", "currency", money.convert_to_kzt(F.col("amount"), F.col("currency")).alias("kzt"))
+    return inline.FX.over(spark, d).select("amount", "currency", money.convert_to_kzt(F.col("amount"), F.col("currency")).alias("kzt"))
 
 
 @query(f"""WITH v AS (SELECT *, trim(coalesce(name, '')) <> '' AS ok, list_filter([CASE WHEN resident IS NULL AND nonresident IS NULL AND original IS NULL THEN 'Не распознана цена' END,
   CASE WHEN resident <= 0 THEN 'Цена не положительное число: ' || resident END, CASE WHEN nonresident <= 0 THEN 'Цена не положительное число: ' || nonresident END, CASE WHEN original <= 0 THEN 'Цена не положительное число: ' || original END,
   CASE WHEN resident > 0 AND nonresident > 0 AND nonresident < resident THEN 'Цена нерезидента меньше цены резидента' END, CASE WHEN effective > DATE '2026-01-01' THEN 'Дата прайса в будущем: ' || effective END,
-  CASE WHEN currency <> '' AND currency <> 'KZT' THEN 'Валюта ' || currency || ': конвертация по курсу' END], lambda m: m IS NOT NULL) AS m FROM {inline.VALIDATION.sql()})
+  CASE WHEN currency <> '' AND currency <> 'KZT' THEN 'Валюта ' || currency || ': конвертация по курсу' END], lambda m: m IS NOT NULL) AS m FROM {inline.VALIDATION.over_sql()})
   SELECT id, ok, ok AND len(m) > 0 AS needs_review, CASE WHEN ok THEN array_to_string(m, '|') ELSE 'Пустое название услуги, строка пропущена' END AS messages FROM v""")
 def validate_rows(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("name", "resident", "nonresident", "original", "effective", "currency")]
-    v = inline.VALIDATION.frame(spark).select("id", money.validation(*c, F.lit("2026-01-01").cast("date")).alias("v"))
+    v = inline.VALIDATION.over(spark, d).select("id", money.validation(*c, F.lit("2026-01-01").cast("date")).alias("v"))
     return v.select("id", "v.ok", "v.needs_review", F.array_join("v.messages", "|").alias("messages"))
 
 
-@query(f"SELECT items, review, CASE WHEN coalesce(items, 0) <= 0 THEN 'error' WHEN review > 0 THEN 'needs_review' ELSE 'done' END AS status FROM {inline.STATUS.sql()}")
+@query(f"SELECT items, review, CASE WHEN coalesce(items, 0) <= 0 THEN 'error' WHEN review > 0 THEN 'needs_review' ELSE 'done' END AS status FROM {inline.STATUS.over_sql()}")
 def document_status(spark: SparkSession, d: str) -> DataFrame:
-    return inline.STATUS.frame(spark).withColumn("status", money.document_status(F.col("items"), F.col("review")))
+    return inline.STATUS.over(spark, d).withColumn("status", money.document_status(F.col("items"), F.col("review")))
 
 
 @query("SELECT p_partkey AS id, sha256('emb:m:' || p_name) AS emb, sha256('rerank:m:' || p_name || '::' || p_type || '||' || p_brand) AS rerank FROM part")
@@ -177,25 +177,25 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT id, coalesce(TRY_CAST(json_extract_string(j, '$.choice') AS INTEGER), 0) AS choice, coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.0) AS confidence, coalesce(json_extract_string(j, '$.reason'), '') AS reason
-  FROM (SELECT id, TRY_CAST(CASE WHEN json_valid(f) THEN f END AS JSON) AS j FROM (SELECT id, regexp_extract(answer, '(?s)\\{{.*\\}}', 0) AS f FROM {inline.ANSWERS.sql()}))""")
+  FROM (SELECT id, TRY_CAST(CASE WHEN json_valid(f) THEN f END AS JSON) AS j FROM (SELECT id, regexp_extract(answer, '(?s)\\{{.*\\}}', 0) AS f FROM {inline.ANSWERS.over_sql()}))""")
 def verdict_parse(spark: SparkSession, d: str) -> DataFrame:
-    return inline.ANSWERS.frame(spark).select("id", text.verdict(F.col("answer")).alias("v")).select("id", "v.*")
+    return inline.ANSWERS.over(spark, d).select("id", text.verdict(F.col("answer")).alias("v")).select("id", "v.*")
 
 
-@query(f"SELECT raw, trim(regexp_replace(replace(replace(raw, 'иен', 'цен'), 'Иен', 'Цен'), '[ \\t]+', ' ', 'g')) AS fixed FROM {inline.CELLS.sql()}")
+@query(f"SELECT raw, trim(regexp_replace(replace(replace(raw, 'иен', 'цен'), 'Иен', 'Цен'), '[ \\t]+', ' ', 'g')) AS fixed FROM {inline.CELLS.over_sql()}")
 def ocr_postprocess(spark: SparkSession, d: str) -> DataFrame:
-    return inline.CELLS.frame(spark).select("raw", text.ocr_postprocess(F.col("raw")).alias("fixed"))
+    return inline.CELLS.over(spark, d).select("raw", text.ocr_postprocess(F.col("raw")).alias("fixed"))
 
 
-@query(f"SELECT name, array_to_string(s, '|') AS synonyms, trim(name || ' ' || array_to_string(s, ' ')) AS embedding_text FROM (SELECT name, list_filter(list_transform(string_split(raw, ';'), lambda x: trim(x)), lambda x: x <> '') AS s FROM {inline.SYNONYMS.sql()})")
+@query(f"SELECT name, array_to_string(s, '|') AS synonyms, trim(name || ' ' || array_to_string(s, ' ')) AS embedding_text FROM (SELECT name, list_filter(list_transform(string_split(raw, ';'), lambda x: trim(x)), lambda x: x <> '') AS s FROM {inline.SYNONYMS.over_sql()})")
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline.SYNONYMS.frame(spark).withColumn("s", text.split_synonyms(F.col("raw")))
+    rows = inline.SYNONYMS.over(spark, d).withColumn("s", text.split_synonyms(F.col("raw")))
     return rows.select("name", F.array_join("s", "|").alias("synonyms"), text.embedding_text(F.col("name"), F.col("s")).alias("embedding_text"))
 
 
-@query(f"""SELECT raw, CASE WHEN r = '' OR regexp_matches(lower(r), '^\\s*({'|'.join(u.replace('.', chr(92) + '.') for u in text.QUANTITY_UNITS)})') THEN raw ELSE trim(r) END AS name FROM (SELECT raw, regexp_extract(raw, '^\\s*[0-9]{{1,3}}[.)]?\\s+([^0-9].*)$', 1) AS r FROM {inline.CELLS.sql()})""")
+@query(f"""SELECT raw, CASE WHEN r = '' OR regexp_matches(lower(r), '^\\s*({'|'.join(u.replace('.', chr(92) + '.') for u in text.QUANTITY_UNITS)})') THEN raw ELSE trim(r) END AS name FROM (SELECT raw, regexp_extract(raw, '^\\s*[0-9]{{1,3}}[.)]?\\s+([^0-9].*)$', 1) AS r FROM {inline.CELLS.over_sql()})""")
 def strip_enumeration(spark: SparkSession, d: str) -> DataFrame:
-    return inline.CELLS.frame(spark).select("raw", text.strip_enumeration(F.col("raw")).alias("name"))
+    return inline.CELLS.over(spark, d).select("raw", text.strip_enumeration(F.col("raw")).alias("name"))
 
 
 def _count(column: str, pattern: str) -> str:
@@ -206,30 +206,30 @@ def _count(column: str, pattern: str) -> str:
   t <> '' AND NOT contains(t, ' ') AND length(t) <= 24 AND regexp_matches(t, '\\p{{Nd}}') AND (regexp_matches(t, '\\p{{L}}') OR {_count('t', '[./-]')} >= 2) AS code,
   NOT regexp_matches(t, '^[(<\\[\\-—.,:;]') AND NOT regexp_matches(t, '[,(/\\-]$') AND NOT regexp_matches(t, '\\p{{Nd}}') AND l >= 5 AND (len(w) <= 1 OR len(list_filter(w, lambda x: length(x) >= 6)) > 0) AND (u >= 0.9 * l OR u > 0.7 * l AND length(t) >= 12) AS section,
   regexp_matches(lower(raw), '^({'|'.join(geometry.SECTIONS)})') OR contains(lower(raw), 'договор') OR regexp_matches(raw, '[0-9]{{2}}[.,][0-9]{{2}}[.,][0-9]{{4}}') AS preamble
-  FROM (SELECT raw, t, {_count('t', '\\p{L}')} AS l, {_count('t', '\\p{Lu}')} AS u, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: regexp_matches(x, '\\p{{L}}')) AS w FROM (SELECT raw, trim(raw) AS t FROM {inline.CELLS.sql()}))""")
+  FROM (SELECT raw, t, {_count('t', '\\p{L}')} AS l, {_count('t', '\\p{Lu}')} AS u, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: regexp_matches(x, '\\p{{L}}')) AS w FROM (SELECT raw, trim(raw) AS t FROM {inline.CELLS.over_sql()}))""")
 def cell_predicates(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("raw")
-    return inline.CELLS.frame(spark).select(
+    return inline.CELLS.over(spark, d).select(
         "raw", geometry.looks_like_price(c).alias("price"), geometry.looks_like_code(c).alias("code"), geometry.is_section_heading(c).alias("section"), geometry.is_preamble(c).alias("preamble")
     )
 
 
-@query(f"""WITH s AS (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY pos) AS a FROM {inline.SERIES.sql()})
+@query(f"""WITH s AS (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY pos) AS a FROM {inline.SERIES.over_sql()})
   SELECT id, count(*) >= 3 AND bool_and(v = floor(v) AND v BETWEEN 0 AND 100000) AND count(*) FILTER (a IS NOT NULL AND (v = a + 1 OR v BETWEEN 1 AND 3 AND v < a)) / (count(*) - 1) > 0.7 AS is_index FROM s GROUP BY id""")
 def index_sequence(spark: SparkSession, d: str) -> DataFrame:
-    lists = inline.SERIES.frame(spark).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    lists = inline.SERIES.over(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
     return lists.select("id", geometry.is_index_sequence(F.transform("p", lambda x: x["v"])).alias("is_index"))
 
 
-@query(f"""WITH c AS (SELECT *, last_value(CASE WHEN NOT priced AND trim(text) <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS category FROM {inline.TABLE.sql()}) SELECT doc_id, row, text, category FROM c WHERE priced""")
+@query(f"""WITH c AS (SELECT *, last_value(CASE WHEN NOT priced AND trim(text) <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS category FROM {inline.TABLE.over_sql()}) SELECT doc_id, row, text, category FROM c WHERE priced""")
 def category_ffill(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.category_fill(inline.TABLE.frame(spark)).drop("priced")
+    return geometry.category_fill(inline.TABLE.over(spark, d)).drop("priced")
 
 
-@query(f"""WITH h AS (SELECT doc_id, row, {' + '.join(f"CAST(contains(lower(text), '{a}') AS INTEGER)" for a in geometry.HEADER_ANCHORS)} AS hits FROM {inline.TABLE.sql()} WHERE row < 25),
+@query(f"""WITH h AS (SELECT doc_id, row, {' + '.join(f"CAST(contains(lower(text), '{a}') AS INTEGER)" for a in geometry.HEADER_ANCHORS)} AS hits FROM {inline.TABLE.over_sql()} WHERE row < 25),
   b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, row) AS k FROM h) SELECT doc_id, CASE WHEN hits >= 2 THEN row ELSE -1 END AS header, hits FROM b WHERE k = 1""")
 def find_header(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.find_header(inline.TABLE.frame(spark))
+    return geometry.find_header(inline.TABLE.over(spark, d))
 
 
 #: Positioned words of a page per order, a line per item: name, code and price.
