@@ -108,6 +108,40 @@ def test_sharding(make_docs):
     assert sharding.shard(make_docs(rows).limit(0), 16).count() == 0
 
 
+def test_groups_stay_whole(make_docs, monkeypatch):
+    """Only a text that fits into no shard is in several; bytes are near equal, also with null ids and many tasks."""
+    monkeypatch.setattr(sharding, "TASK_GROUPS", 300)
+    rng = random.Random(5)
+    body = lambda n: " ".join(words(rng, n))
+    groups = [[body(200)] * 40, [body(30)] * 60, [body(400)] * 3, [body(100)] * 220]  # the last is above a shard
+    rows = [(None if i % 50 == 0 else i, t) for i, t in enumerate([t for g in groups for t in g] + [body(rng.randrange(5, 90)) for _ in range(2500)])]
+    found = sharding.shard(make_docs(rows), 16).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in found) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    size, where = Counter(), defaultdict(set)
+    for r in found:
+        size[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    mean = sum(size.values()) / 16
+    assert all(abs(n - mean) <= 0.02 * mean for n in size.values())  # texts are up to a hundredth of a shard here
+    for text, n in Counter(t for _, t in rows).items():
+        assert len(where[zlib.crc32(text.encode())]) == 1 or n * (len(text) + 1) > mean
+
+
+def test_place_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes, room = rng.random((12, 3)) / 12, np.full((4, 3), 0.25)
+        found = sharding.place(sizes, left := room.copy(), whole=True)
+        free = room.copy()
+        for i in sorted(range(12), key=lambda i: (-max(sizes[i]), i)):
+            best = [s for s in range(4) if free[s][0] >= sizes[i][0]]
+            want = max(best, key=lambda s: (sum(free[s] * sizes[i]), -s)) if best else -1
+            assert found[i] == want
+            if want >= 0:
+                free[want] -= sizes[i]
+        assert np.allclose(left, free)
+
+
 ODD = ["", " ", "\n", "a\n\nb", " a", "a ", "it's 's don't're", "foo.\nBar, x!? 12,5 a.", "tab\there", "été, naïve. ﬁ", "日本語 テスト。", "<|endoftext|> a", "a.. b,, c.", "a  b", "\x1c a\x85b", "I'll.", "x' s", "a \nb"]
 
 
