@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +28,24 @@ def parse_amount(raw: Column) -> Column:
     other white space within the number makes it null.
     """
     s = F.regexp_replace(raw, rf"(?iu){CURRENCY}\.?", " ")
-    m = F.translate(F.regexp_extract(s, r"[0-9][0-9\s\x{00A0}\x{202F}.,]*[0-9]|[0-9]", 0), " \u00a0", "")
-    comma, dot = F.contains(m, F.lit(",")), F.contains(m, F.lit("."))
-    plain = F.replace(m, F.lit(","), F.lit(""))
-    decimal = F.replace(m, F.lit(","), F.lit("."))
-    m = F.when(comma & dot, F.replace(F.replace(m, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(comma & m.rlike(",[0-9]{1,2}$"), decimal).when(comma, plain).otherwise(m)
-    m = F.when(F.regexp_count(m, F.lit(r"\.")) > 1, F.replace(m, F.lit("."), F.lit(""))).otherwise(m)
-    value = F.when(m.rlike(r"^[0-9]+(\.[0-9]*)?$"), m).try_cast(AMOUNT)
-    return F.when(value > 0, value)
+    found = F.translate(F.regexp_extract(s, r"[0-9][0-9\s\x{00A0}\x{202F}.,]*[0-9]|[0-9]", 0), " \u00a0", "")
+
+    def plain(m: Column) -> Column:
+        comma, dot = F.contains(m, F.lit(",")), F.contains(m, F.lit("."))
+        grouped = F.replace(F.replace(m, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.when(~comma, m).when(dot, grouped).when(m.rlike(",[0-9]{1,2}$"), F.replace(m, F.lit(","), F.lit("."))).otherwise(F.replace(m, F.lit(","), F.lit("")))
+
+    def number(m: Column) -> Column:
+        one = F.when(F.regexp_count(m, F.lit(r"\.")) > 1, F.replace(m, F.lit("."), F.lit(""))).otherwise(m)
+        value = F.when(one.rlike(r"^[0-9]+(\.[0-9]*)?$"), one).try_cast(AMOUNT)
+        return F.when(value > 0, value)
+
+    return let(found, lambda m: let(plain(m), number))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def classify_label(label: Column) -> Column:

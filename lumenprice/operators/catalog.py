@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprice.functions import text
+from lumenprice.sources.stored import stored
 
 
 def new_services(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def new_partners(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """Of incoming (name, bin, seq), in the order of seq, those whose BIN and normalised name no partner has: neither a known one nor an incoming one that is new itself.
 
     A round takes the rows that come first by BIN and by name, and drops the others with their BINs or names; rows that
-    only met a dropped row wait for the next round.
+    only met a dropped row wait for the next round. What a round leaves is stored, so that no plan grows with their number.
     """
     key = lambda rows: rows.withColumn("norm", text.normalize_name(F.col("name")))
     there = key(known)
@@ -34,8 +35,9 @@ def new_partners(incoming: DataFrame, known: DataFrame) -> DataFrame:
     while left.limit(1).count():
         by = lambda c: F.min("seq").over(Window.partitionBy(c))
         marked = left.withColumns({"first_name": by("norm"), "first_bin": by("bin")})
-        first = marked.filter((F.col("seq") == F.col("first_name")) & (F.col("bin").isNull() | (F.col("seq") == F.col("first_bin")))).drop("first_name", "first_bin").persist()
-        out, left = out.unionByName(first), others(left, first).select(*left.columns).persist()
+        first = marked.filter((F.col("seq") == F.col("first_name")) & (F.col("bin").isNull() | (F.col("seq") == F.col("first_bin")))).drop("first_name", "first_bin")
+        first = stored(first, "partners-new")
+        out, left = out.unionByName(first), stored(others(left, first).select(*left.columns), "partners-left")
     return out
 
 

@@ -76,6 +76,7 @@ def extracted(cells: DataFrame, kind: str) -> DataFrame:
     if kind == "docx":
         return sheets.document_items(cells)
     below, header = grid(stored(cells, "process-cells"))
+    below = tables.parsed(below)
     return tables.items(below, stored(tables.table_roles(below, header, kind), "process-roles"), kind)
 
 
@@ -108,17 +109,17 @@ def word_items(words: DataFrame, kind: str = "pdf") -> DataFrame:
     held = cells.groupBy("doc_id", "page", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("m")).join(columns, ["doc_id", "page"]).join(header, ["doc_id", "page"])
     grid_ = held.select("doc_id", "page", F.col("line").alias("row"), "header", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("column"), "m")
     grid_ = stored(grid_.withColumn("cell", F.coalesce(F.try_element_at("m", "column"), F.lit(""))).drop("m"), "process-grid")
-    below, captions = grid_.filter("row > header").drop("header"), grid_.filter("row = header").drop("header", "row")
+    below, captions = tables.parsed(grid_.filter("row > header").drop("header")), grid_.filter("row = header").drop("header", "row")
     roles = stored(tables.table_roles(below, captions, kind), "process-roles")
     stitched = stitched_cells(below, roles, lines, geometry.line_gap(words))
     return tables.items(stitched, roles, kind)
 
 
 def stitched_cells(below: DataFrame, roles: DataFrame, lines: DataFrame, gaps: DataFrame) -> DataFrame:
-    """below (doc_id, page, row, column, cell) with the names and codes that stitch_rows gives its rows, without the rows that went into others."""
+    """below (doc_id, page, row, column, cell, amount) with the names and codes that stitch_rows gives its rows, without the rows that went into others."""
     key = ["doc_id", "page", "row"]
     read = below.join(roles.select("doc_id", "page", "column", "is_name", "is_code", "is_price", "numbered"), ["doc_id", "page", "column"])
-    read = read.withColumn("priced", F.when(F.col("is_price") & money.parse_amount(F.col("cell")).isNotNull(), F.col("cell")))
+    read = read.withColumn("priced", F.when(F.col("is_price") & F.col("amount").isNotNull(), F.col("cell")))
     rows = read.groupBy(*key).agg(
         F.max(F.when(F.col("is_name"), F.col("cell"))).alias("name"), F.max(F.when(F.col("is_code"), F.col("cell"))).alias("code"),
         F.max("priced").alias("price"), F.coalesce(F.bool_or("numbered"), F.lit(False)).alias("numbered"),
@@ -126,7 +127,9 @@ def stitched_cells(below: DataFrame, roles: DataFrame, lines: DataFrame, gaps: D
     placed = rows.join(lines.select("doc_id", "page", F.col("line").alias("row"), "top"), key).join(gaps, ["doc_id", "page"]).withColumnRenamed("row", "line")
     found = geometry.stitch_rows(placed, F.col("numbered")).withColumnRenamed("line", "row").select(*key, F.col("name").alias("_name"), F.col("code").alias("_code"))
     cell = F.when(F.col("is_name"), F.col("_name")).when(F.col("is_code"), F.col("_code")).otherwise(F.col("cell"))
-    return read.join(found, key).select(*key, "column", cell.alias("cell"))
+    # an amount that a stitched name or code holds is its own
+    amount = F.when(F.col("is_name") | F.col("is_code"), money.parse_amount(cell)).otherwise(F.col("amount"))
+    return read.join(found, key).select(*key, "column", cell.alias("cell"), amount.alias("amount"))
 
 
 def isolated(cells: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from lumenprice.plans import domain, inline, relational
 from lumenprice.plans.registry import query
 from lumenprice.plans.scalar import CODE, _amount_sql, _count, _quality_sql
 from lumenprice.sources import files
+from lumenprice.sources.stored import stored
 
 CAPTIONS = inline.Rows("doc_id long, column int, cell string", [(i, j, c) for i, row in enumerate((
     ("№", "Код", "Наименование услуги", "Цена для граждан РК", "Цена СНГ"), ("Услуга", "Название", "Шифр", "Стоимость"), ("№ п/п", "Код услуги", "Вид помощи", "Тариф"),
@@ -98,10 +99,10 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _parted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The cells below each page's header, and the header's."""
-    grid = _grid(spark, d)
+    grid = stored(_grid(spark, d), "grid")
     rows = grid.groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda c: c["cell"]), " ").alias("text"))
     both = grid.join(geometry.find_header(rows).select("doc_id", "header"), "doc_id")
-    return both.filter("row > header").drop("header"), both.filter("row = header").drop("header", "row")
+    return tables.parsed(both.filter("row > header").drop("header")), stored(both.filter("row = header").drop("header", "row"), "header")
 
 
 CELL_PRICE = f"""({_amount_sql('cell')} IS NOT NULL AND ({_count("regexp_replace(cell, '(?i)тенге|тг|kzt|руб|rub|usd|₸|\\$', '', 'g')", '\\p{L}')} <= 2 OR coalesce({_amount_sql("regexp_extract(cell, '^\\s*([0-9][0-9\\s.,]*)', 1)")}, 0) >= 100))"""
@@ -158,7 +159,7 @@ STRIPPED = "CASE WHEN regexp_matches(cell, '^\\s*[0-9]{1,3}[.)]?\\s+[^0-9]') THE
   SELECT doc_id, row, coalesce(nullif(name, ''), line) AS name, code, category, prices FROM g WHERE prices <> ''""")
 def table_items(spark: SparkSession, d: str) -> DataFrame:
     cells, header = _parted(spark, d)
-    found = tables.items(cells, tables.table_roles(cells, header))
+    found = tables.items(cells, stored(tables.table_roles(cells, header), "roles"))
     listed = F.transform("prices", lambda p: F.concat(p["label"], F.lit("="), p["amount"].cast("string")))
     return found.select("doc_id", "row", "name", "code", "category", F.array_join(listed, "|").alias("prices"))
 
