@@ -32,9 +32,10 @@ def lexical_index(services: DataFrame) -> DataFrame:
 
 
 def exact_match(names: DataFrame, index: DataFrame) -> DataFrame:
-    """names (name) with the first service, by service_id, whose name or synonym normalises alike."""
+    """names (name) with the first service, by service_id, whose name or synonym normalises alike; a name is normalised once."""
     first = index.groupBy("entry").agg(F.min("service_id").alias("service_id"))
-    return names.withColumn("entry", text.normalize(F.col("name"))).join(first, "entry", "left").drop("entry")
+    forms = names.select("name").distinct().withColumn("entry", text.normalize(F.col("name"))).join(first, "entry").select("name", "service_id")
+    return names.join(forms, "name", "left").select(*names.columns, "service_id")
 
 
 def code_hits(rows: DataFrame, services: DataFrame) -> DataFrame:
