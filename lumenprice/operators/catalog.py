@@ -42,14 +42,14 @@ def new_partners(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def synthetic_catalog(items: DataFrame, least: int = 1) -> DataFrame:
-    """A catalogue of the items' names (name, category, seq): the most frequent spelling (the first seen on a tie) of each
+    """A catalogue of the items' names (name, category, seq of any kind that has an order): the most frequent spelling (the first seen on a tie) of each
     normalised form names it, the others are synonyms, and the first known category holds."""
     spelt = items.withColumn("norm", text.normalize(F.col("name"))).filter("norm <> ''").groupBy("norm", "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.min_by("category", F.when(F.col("category").isNotNull(), F.col("seq"))).alias("category"),
         F.min(F.when(F.col("category").isNotNull(), F.col("seq"))).alias("c_seq"),
     )
     found = spelt.groupBy("norm").agg(
-        F.sum("n").alias("n"), F.max_by("name", F.struct("n", -F.col("seq"))).alias("service_name"), F.array_sort(F.collect_list("name")).alias("names"),
+        F.sum("n").alias("n"), F.min_by("name", F.struct(-F.col("n"), F.col("seq"))).alias("service_name"), F.array_sort(F.collect_list("name")).alias("names"),
         F.min_by("category", "c_seq").alias("category"),
     )
     return found.filter(F.col("n") >= least).select("norm", "service_name", F.filter("names", lambda x: x != F.col("service_name")).alias("synonyms"), "category", "n")

@@ -318,7 +318,7 @@ def synthetic_catalog(spark: SparkSession, d: str) -> DataFrame:
     even = F.col("line") % 2 == 0
     rows = domain.items(spark, d).join(names, "part_id").select(
         F.when(even, F.upper("service_name")).otherwise(F.col("service_name")).alias("name"), F.when(F.col("line") > 2, F.col("category")).alias("category"),
-        (F.col("doc_id") * 1_000_000_000 + F.col("line") * 100_000_000 + F.pmod(F.xxhash64("item_id"), F.lit(100_000_000))).alias("seq"),
+        F.struct("doc_id", "line", "item_id").alias("seq"),
     )
     return catalog.synthetic_catalog(rows).withColumn("synonyms", F.array_join("synonyms", "|"))
 
