@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lumenprice.operators import geometry
-from lumenprice.plans import relational
+from lumenprice.operators import geometry, tables
+from lumenprice.plans import interpret, relational
 
 
 @pytest.fixture
@@ -37,3 +37,16 @@ def test_synthetic_catalog_orders_equal_lines_by_item(spark, tmp_path):
     # item_id is doc-line-part-supplier, ordered as a string
     first = {f"red bolt{i}": min((f"{i}-3-{p}-{9 - p % 2}", f"TYPE{p}") for p in (2 * i, 2 * i + 1))[1] for i in range(20)}
     assert {r["norm"]: r["category"] for r in relational.synthetic_catalog(spark, str(tmp_path)).collect()} == first
+
+
+def test_tables_are_dealt_once_and_not_stored_as_cells(spark, monkeypatch):
+    sf, names = "/root/testdata/sf0.001", []
+    kept = lambda df, name: names.append(name) or df
+    for module in (interpret, tables):
+        monkeypatch.setattr(module, "stored", kept)
+    dealt = lambda df: {line.split("plan_id")[0].split("Exchange ")[1] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line}
+    assert len(dealt(interpret.infer_columns(spark, sf))) <= 2  # the orders, for the header and for the rows below it
+    interpret.analyze_table(spark, sf)
+    assert names == []
+    interpret.table_items(spark, sf)
+    assert names == ["roles"]
