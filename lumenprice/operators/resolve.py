@@ -106,19 +106,27 @@ def apply_match(rows: DataFrame) -> DataFrame:
 def code_level(hits: DataFrame, services: DataFrame) -> DataFrame:
     """item_id, service_id, score, method of hits (code_hits with item_id and name) whose code some services have: of several, the most similar of their names."""
     by_code = hits.filter("hits = 1").select("item_id", "service_id", "score", F.lit("code").alias("method"))
-    several = hits.filter("hits > 1").withColumn("key", text.normalize_code(F.col("code"))).withColumn("entry", text.normalize(F.col("name")))
-    coded = services.filter("is_active").select(F.col("service_id").alias("sid"), text.normalize_code(F.col("icd_code")).alias("key"), text.normalize(F.col("service_name")).alias("other"))
+    several = hits.filter("hits > 1").select("item_id", F.coalesce("name", F.lit("")).alias("name"), "code")
+    forms = several.select("name", "code").distinct().select("name", "code", text.normalize(F.col("name")).alias("entry"), text.normalize_code(F.col("code")).alias("key"))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(sorted_tokens(x), sorted_tokens(y)) / 100 for x, y in zip(a, b)])
 
-    rated = several.select("entry", "key").distinct().join(coded, "key").withColumn("sim", alike("entry", "other"))
+    rated = code_pairs(forms, services).withColumn("sim", alike("entry", "other"))
     winner = rated.groupBy("entry", "key").agg(F.max_by(F.struct("sid", "sim"), F.struct("sim", -F.col("sid"))).alias("w"))
-    by_several = several.join(winner, ["entry", "key"]).select("item_id", F.col("w.sid").alias("service_id"), F.greatest(F.lit(CODE_LEAST), F.col("w.sim")).alias("score"), F.lit("code").alias("method"))
+    of_form = forms.join(winner, ["entry", "key"]).select("name", "code", "w")
+    by_several = several.join(of_form, ["name", "code"]).select("item_id", F.col("w.sid").alias("service_id"), F.greatest(F.lit(CODE_LEAST), F.col("w.sim")).alias("score"), F.lit("code").alias("method"))
     return by_code.unionByName(by_several)
 
 
+def code_pairs(forms: DataFrame, services: DataFrame) -> DataFrame:
+    """key, entry, other, sid: each form (entry, key) beside the distinct names of active services with its code; of alike names the smallest service_id (sid) counts."""
+    coded = services.filter("is_active").select(F.col("service_id").alias("sid"), text.normalize_code(F.col("icd_code")).alias("key"), F.col("service_name").alias("raw"))
+    names = coded.filter("key is not null").groupBy("key", "raw").agg(F.min("sid").alias("sid")).withColumn("other", text.normalize(F.col("raw")))
+    return forms.select("entry", "key").distinct().join(names.groupBy("key", "other").agg(F.min("sid").alias("sid")), "key")
+
+
 def pooled(names: DataFrame, services: DataFrame, semantic: DataFrame | None = None, reranked: DataFrame | None = None) -> DataFrame:
     """Candidates of distinct names (name): item_id (the name), service_id, score, method, rank (from 0), lexical (the best fuzzy score).
 

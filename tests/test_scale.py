@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lumenprice.operators import geometry, tables
+from lumenprice.operators import geometry, resolve, tables
 from lumenprice.plans import interpret, relational
 
 
@@ -50,3 +50,12 @@ def test_tables_are_dealt_once_and_not_stored_as_cells(spark, monkeypatch):
     assert names == []
     interpret.table_items(spark, sf)
     assert names == ["roles"]
+
+
+def test_services_of_one_code_and_name_are_compared_once(spark):
+    services = spark.range(1, 301).selectExpr("id as service_id", "concat('Прием врача ', id % 3) as service_name", "'A1' as icd_code", "true as is_active")
+    forms = spark.createDataFrame([("прием врача 2", "A1"), ("прием врача 2", "A1")], "entry string, key string")
+    assert sorted(tuple(r) for r in resolve.code_pairs(forms, services).select("other", "sid").collect()) == [("прием врача 0", 3), ("прием врача 1", 1), ("прием врача 2", 2)]
+    items = spark.createDataFrame([(f"i{i}", "ПРИЕМ врача 2", "a1") for i in range(50)] + [("none", None, "A1")], "item_id string, name string, code string")
+    found = {r["item_id"]: (r["service_id"], r["score"]) for r in resolve.code_level(resolve.code_hits(items, services), services).collect()}
+    assert found == {f"i{i}": (2, 1.0) for i in range(50)} | {"none": (1, 0.95)}
