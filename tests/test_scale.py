@@ -71,3 +71,16 @@ def test_density_bounds_deal_words_once_to_bounded_tasks(spark, monkeypatch):
     rows = [(1, 1, None, 5.0, 20.0), (1, 1, 0, 60.0, 10.0), (None, 1, 0, 3.0, 9.0)]  # no line, a word that ends before it begins, no document
     odd = spark.createDataFrame(rows, "doc_id long, page int, line int, x0 double, x1 double")
     assert sorted((r["doc_id"] or 0, r["bound"]) for r in geometry.density_bounds(odd).collect()) == [(0, 3.0), (1, 5.0)]
+
+
+def test_workbooks_and_documents_deal_their_cells_once(spark):
+    from lumenprice.operators import sheets as rules
+
+    assert not hasattr(rules, "stored")  # rows aren't written to be dealt again
+    cells = spark.createDataFrame([(1, 0, 1, 0, "Услуга"), (1, 0, 1, 1, "Цена"), (1, 0, 2, 0, "Прием"), (1, 0, 2, 1, "500")], "doc_id long, page int, row int, column int, value string")
+    for items in (rules.workbook_items, rules.document_items):
+        found = items(cells, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {line.split("Exchange ")[1].split(", [plan_id")[0].split("#")[0] for line in plan.splitlines() if "Exchange hash" in line} == {"hashpartitioning(doc_id"}
+        assert all(", 3), REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hash" in line)
+        assert [(r["name"], [int(p["amount"]) for p in r["prices"]]) for r in found.collect()] == [("Прием", [500])]
