@@ -200,6 +200,22 @@ def test_passage_before_a_part_that_is_less_alike(make_docs):
     assert not any(found[i] for i in range(0, len(texts), 2))
 
 
+@pytest.mark.parametrize("share", [50, 25])
+def test_fuzzy_passages_behind_parts_of_them(make_docs, share):
+    """Earlier documents with halves of a passage, each too short to count, don't hide the one that has all of it."""
+    rng = random.Random(18)
+    texts, last = [], []
+    for _ in range(20):
+        p = words(rng, 80, 10**6)
+        again = [f"z{rng.random()}" if i % share == share // 2 else w for i, w in enumerate(p)]
+        for own in (p[:45], p[35:], p, p[:45], p[35:], again):
+            texts.append(" ".join(words(rng, 30, 10**6) + own + words(rng, 30, 10**6)))
+        last.append(len(texts) - 1)
+    found = {r["doc_id"]: r["n_removed"] for r in chaining.without_passages(make_docs(texts)).collect()}
+    assert sum(found[i] >= 70 for i in last) >= 19
+    assert not any(found[i] for i in found if i not in last)
+
+
 def test_chain_prefers_the_longer_order():
     x, y = np.array([0, 5, 10, 15, 20, 25]), np.array([100, 105, 3, 110, 115, 9])
     best = chaining.chain(x, y)[0]
