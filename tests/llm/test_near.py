@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenprice.llm import chaining, simhash
@@ -216,6 +217,22 @@ def test_fuzzy_passages_behind_parts_of_them(make_docs, share):
     assert not any(found[i] for i in found if i not in last)
 
 
+def test_near_copies_within_the_pigeonholes_bits(make_docs, monkeypatch):
+    """All pairs within NEAR bits are candidates without any draw."""
+    rng = random.Random(19)
+    texts = []
+    for n in [60, 120, 250] * 20:
+        base = words(rng, n, 10**6)
+        texts += [base, [f"e{rng.random()}" if i == n // 2 else w for i, w in enumerate(base)], words(rng, n, 10**6)]
+    docs = make_docs([" ".join(t) for t in texts])
+    lanes = {r["row"]: r["lane"] for r in simhash.shingled(docs.select(F.col("doc_id").alias("row"), "text"), 5).collect()}
+    within = [k for k in range(0, len(texts), 3) if ((lanes[k] ^ lanes[k + 1]) & (1 << 64) - 1).bit_count() <= simhash.NEAR]
+    monkeypatch.setattr(simhash, "candidate_links", lambda texts, similar: texts.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()}
+    assert len(within) > 40 and not kept & {k + 1 for k in within}
+    assert kept >= set(range(0, len(texts), 3)) | set(range(2, len(texts), 3))
+
+
 def test_chain_prefers_the_longer_order():
     x, y = np.array([0, 5, 10, 15, 20, 25]), np.array([100, 105, 3, 110, 115, 9])
     best = chaining.chain(x, y)[0]
