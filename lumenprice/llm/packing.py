@@ -159,8 +159,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048) -> DataFrame
             names, rows = batch.column(0).to_pylist(), []
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             at = 0
-            while at < len(names):  # a few MB at a time, however long the texts are
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000)))
+            while at < len(names):  # a MB at a time, however long the texts are
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 1_000_000)))
                 found, bounds = ids.of(batch.column(1).slice(at, end - at))
                 found = found.astype("<u4", copy=False)
                 for name, a, b in zip(names[at:end], bounds.tolist(), bounds[1:].tolist()):
