@@ -258,6 +258,33 @@ def test_passages_do_not_depend_on_the_layout(make_docs, monkeypatch, hot):
     assert all(lost[240 + i] == len(texts[i].split()) for i in range(40) if len(texts[i].split()) >= 50)
 
 
+def shuffled(spark, run):
+    """MB that the stages of run write to shuffles."""
+    store, last = spark.sparkContext._jsc.sc().statusStore(), lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    began = last()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for i in range(began, last()):
+        try:
+            total += store.lastStageAttempt(i).shuffleWriteBytes()
+        except Exception:  # a stage that was left out
+            continue
+    return total / 1e6
+
+
+def test_links_are_shuffled_packed(spark, make_docs):
+    rng = random.Random(20)
+    passages = [words(rng, 200, 10**6) for _ in range(40)]
+    texts = [" ".join(words(rng, 20, 10**6) + [f"e{rng.random()}" if rng.random() < 0.03 else w for w in passages[i % 40]]) for i in range(1600)]
+    docs = make_docs(texts).cache()
+    docs.count()
+    found = []
+    mb = shuffled(spark, lambda: found.extend(chaining.without_passages(docs).collect()))
+    assert sum(r["n_removed"] > 180 for r in found) >= 1500
+    assert mb < 25, mb  # 14; 42 as rows of five numbers
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
