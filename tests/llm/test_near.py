@@ -217,6 +217,41 @@ def test_fuzzy_passages_behind_parts_of_them(make_docs, share):
     assert not any(found[i] for i in found if i not in last)
 
 
+def test_fuzzy_passages_behind_many_parts_of_them(make_docs):
+    """However many rows have a passage's seeds, each is compared with all earlier ones."""
+    rng = random.Random(21)
+    texts, last = [], []
+    for _ in range(3):
+        p = words(rng, 80, 10**6)
+        texts += [" ".join(words(rng, 30, 10**6) + own + words(rng, 30, 10**6)) for _ in range(60) for own in (p[:45], p[35:])]
+        texts.append(" ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6)))
+        texts += [" ".join(words(rng, 30, 10**6) + own + words(rng, 30, 10**6)) for _ in range(60) for own in (p[:45], p[35:])]
+        for _ in range(8):
+            again = [f"z{rng.random()}" if i % 25 == 12 else w for i, w in enumerate(p)]
+            texts.append(" ".join(words(rng, 30, 10**6) + again + words(rng, 30, 10**6)))
+            last.append(len(texts) - 1)
+    found = {r["doc_id"]: r["n_removed"] for r in chaining.without_passages(make_docs(texts)).collect()}
+    assert sum(found[i] >= 70 for i in last) >= 23
+    assert not any(found[i] for i in found if i not in last)
+
+
+def test_blocks_find_what_links_find(make_docs, monkeypatch):
+    """Runs that are compared in pairs of blocks, or in part, give what links of all seeds give."""
+    rng = random.Random(22)
+    passages, line = [words(rng, n, 10**6) for n in (60, 90, 150, 40)], words(rng, 25, 10**6)
+    texts = []
+    for i in range(160):
+        own = [f"e{rng.random()}" if rng.random() < 0.04 else w for w in passages[i % 4][: rng.choice((35, 150))]]
+        texts.append(" ".join(words(rng, rng.randrange(5, 40), 300) + own + (line * 2 if i % 3 == 0 else []) + words(rng, rng.randrange(5, 40), 300)))
+    docs = make_docs(texts + [texts[5]] * 3)
+    found = []
+    for hot, blocks in ((10**9, 4), (20, 4), (3, 7)):
+        monkeypatch.setattr(chaining, "HOT", hot)
+        monkeypatch.setattr(chaining, "BLOCKS", blocks)
+        found.append(sorted(map(tuple, chaining.without_passages(docs).collect()), key=str))
+    assert found[0] == found[1] == found[2] and sum(r[3] > 30 for r in found[0]) > 40
+
+
 def test_near_copies_within_the_pigeonholes_bits(make_docs, monkeypatch):
     """All pairs within NEAR bits are candidates without any draw."""
     rng = random.Random(19)
